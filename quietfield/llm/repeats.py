@@ -89,6 +89,23 @@ def word_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return (k.word_hashes(raw, b, e) if len(b) else np.zeros(0, k.U64)), first
 
 
+def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end byte of every line that holds a word, and the n+1 bounds of the documents."""
+    b, e = k.runs(raw != 0x0A, offsets)
+    words = np.concatenate([[0], np.cumsum(~k.IS_SPACE[raw])])
+    has = words[e] > words[b]
+    b, e = b[has], e[has]
+    return b, e, np.searchsorted(b, offsets)
+
+
+def line_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    b, e, first = line_bounds(raw, offsets)
+    return (k.word_hashes(raw, b, e) if len(b) else np.zeros(0, k.U64)), first
+
+
+SYMBOLS = {"bytes": (byte_symbols, 1), "words": (word_symbols, 8), "lines": (line_symbols, 8)}
+
+
 def _settle(h, s, doc, pos, same_doc: bool):
     """Order by (h, s, doc, pos), where each group (h, s) begins, and which rows repeat an earlier one."""
     order = np.lexsort((pos, doc, s, h))
@@ -260,17 +277,21 @@ def _sort(L: int, unit: int, same_doc: bool):
 def repeated_windows(keyed: DataFrame, by: str, L: int, K: int, same_doc: bool) -> DataFrame:
     """Windows of keyed(doc, text) that occur earlier, as runs (doc, pos, width): starts pos .. pos+width-1.
 
-    by: 'bytes' or 'words'.  Earlier is a smaller doc, or with same_doc also an
+    by: 'bytes', 'words' or 'lines' (those with a word).  With K = L every window is its
+    own anchor and no rims are left.  Earlier is a smaller doc, or with same_doc also an
     earlier start in the same document.  K must be at most 255 below L.
     """
     assert 0 < K <= L and L - K < 255
-    symbols, unit = (byte_symbols, 1) if by == "bytes" else (word_symbols, 8)
+    symbols, unit = SYMBOLS[by]
     rec = keyed.select("doc", "text").mapInArrow(_records(symbols, L, K, same_doc), RECORD)
     met = table(rec.repartition("k").mapInArrow(_meet(same_doc), FOUND), "stretches")
+    found = met.where("kind = 0").select("doc", "pos", "width")
+    if K == L:
+        return found
     rim = met.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("pos", ((F.col("width") * 256 + F.col("off")) * 2 + (F.col("kind") == 2).cast("int")).alias("meta"))).alias("rims"))
     body = keyed.join(rim.hint("shuffle_hash"), "doc").select("doc", "text", "rims").mapInArrow(_fetch(symbols, L, unit), "lead binary, doc long, pos long, width int, body binary")
     sorted_out = body.repartitionByRange("lead").mapInArrow(_sort(L, unit, same_doc), "doc long, pos long, width int")
-    return met.where("kind = 0").select("doc", "pos", "width").union(sorted_out)
+    return found.union(sorted_out)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,0 +1,122 @@
+"""Operators 3, 5 and 6 against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+
+from quietfield.llm import op3_language_id as op3
+from quietfield.llm import op5_pii as op5
+from quietfield.llm import op6_quality_rules as op6
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def brute_pii(text):
+    text, out = text or "", []
+    out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and plain_luhn(d):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    names = ["email", "ip", "card", "phone"]
+    return [sum(r == k for _, r, _ in out) for k in range(4)], ",".join(f"{names[r]}:{s}:{e}" for s, r, e in sorted(out))
+
+
+def test_base_spans(spark):
+    r = random.Random(3)
+    bits = ["a.b", "@", "x@y.z", "@@", ".com", "x", "é", " ", "\n", "1.2.3.4", "1.2.3", ".5", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "12345678901234", "+", "+1 (555) 010-99 88", "+49.30.123456", "(", ")", "-", "0", "iban ", "Konto ", "://", "u:p@h.de", "+-"]
+    docs = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 14)))) for i in range(3000)]
+    docs += [(None, "a@b.c"), (1, None), (2, "9" * 3000), (3, "a" * 5000 + "@"), (4, "x@y.z@w.v")]
+    got = op5.personal_data(spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, spans int")).collect()
+    assert len(got) == len(docs)
+    by = sorted(((r.doc_id is None, r.doc_id or 0, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got))
+    want = []
+    for d, t in docs:
+        counts, base = brute_pii(t)
+        want.append((d is None, d or 0, *counts, hashlib.sha256(base.encode()).hexdigest()))
+    assert by == sorted(want)
+
+
+def test_added_spans():
+    def kinds(t):
+        return [op5.KINDS[r] + "=" + t[s:e] for s, r, e in op5.find_spans(t, op5.automaton())]
+
+    assert kinds("see https://joe:secret@host.example/x") == ["credentials=joe:secret", "email=secret@host.example"]
+    assert kinds("IBAN: DE89 3704 0044 0532 0130 00.") == ["account=DE89 3704 0044 0532 0130 00"]
+    assert kinds("IBAN: DE89 3704 0044 0532 0130 01.") == []
+    assert kinds("lives at 12 Old Mill Street in town") == ["address=12 Old Mill Street"]
+    assert kinds("account of the street was long") == []
+
+
+def brute_counts(text):
+    text = text or ""
+    w = WORD.findall(text)
+    wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    mark = [False] * len(w)
+    for i, x in enumerate(wins):
+        if wins.count(x) > 1:
+            mark[i : i + 3] = [True] * 3
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    return [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, sum(mark)]
+
+
+def test_quality_counts_and_risk(spark):
+    r = random.Random(5)
+    docs = []
+    for i in range(300):
+        vocab = ["w%d" % x for x in range(r.choice([3, 200]))] + ["é#", "日本", "&", "a|b"]
+        docs.append((i, r.choice(["\n", " "]).join(" ".join(r.choice(vocab) for _ in range(r.choice([1, 1, 9]))) for _ in range(r.randint(0, 40))) + r.choice(["", "\n \n", "\r\n"]), r.choice(["en", None])))
+    docs += [(None, "x y", "en"), (900, None, None), (901, "", "en")]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, n_words int").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(None, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    got = op6.quality(df, labels).collect()
+    want = sorted(((d is None, d or 0, *brute_counts(t)) for d, t, _ in docs))
+    assert sorted(((x.doc_id is None, x.doc_id or 0, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in got)) == want
+    for x in got:
+        assert x.base_failed == (x.n_words < 50 or 2 * x.n_repeat_words > x.n_words)
+        assert not (x.base_failed and x.kept)
+    kept = op6.quality(df, labels, keep_columns=True)
+    assert kept.columns == [*df.columns, "_kept"] and kept.count() == len(docs)
+    assert op6.quality(df.limit(0), labels).count() == 0
+
+
+def test_cutoffs_are_exact():
+    assert abs(op6.binomial_tail(20, 3, 0.2) - 0.41144886) < 1e-6
+    n = 5000
+    row = {"stratum": "en", "n": n} | {rule: [0] * len(c) for rule, c in op6.RULES.items()}
+    row["symbol_share"] = [0, 0, 1, 2, 900] + [2000] * (len(op6.RULES["symbol_share"]) - 5)
+    cuts = op6.choose_cutoffs([row])["en"]
+    assert cuts["symbol_share"] == op6.RULES["symbol_share"][3]
+    assert op6.choose_cutoffs([row | {"n": 30}]) == {}
+
+
+def test_language(spark):
+    r = random.Random(6)
+    words = {"en": "the of and with water house from would people".split(), "de": "der die und nicht wasser haus über straße leute".split(), "fr": "le la avec maison eau pour être français gens".split()}
+    docs = [(i, " ".join(r.choice(words[g]) for _ in range(r.randint(8, 60))), g) for i in range(600) for g in [r.choice(list(words))]]
+    docs += [(1000, None, "en"), (1001, "12 34", "en"), (1002, "", None), (None, "the water of the house and the people", "en")]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, lang string, score int")
+    model = op3.learn(df)
+    got = {x.doc_id: x for x in op3.identify(df, model).collect()}
+    assert [x.lang_pred for x in (got[1000], got[1001], got[1002])] == ["und"] * 3 and got[None].held_out
+    held = [d for d in docs[:600] if zlib.crc32(str(d[0]).encode()) % 4 == 2]
+    assert all(got[d[0]].held_out for d in held) and sum(got[d[0]].held_out for d in docs[:600]) == len(held)
+    assert sum(got[d[0]].lang_pred == d[2] for d in held) >= 0.97 * len(held)
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert {x.lang_pred for x in op3.identify(df, op3.learn(df.limit(0))).collect()} == {"und"}
