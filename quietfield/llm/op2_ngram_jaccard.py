@@ -9,7 +9,8 @@ with shingles that a bounded sample shows to be frequent put last.
    Equal sets within a task go on once; equal sets overall are one class.
 2. Prefix shingles meet; a shingle of one document only is dropped, the others give
    (smallest document, document).  All documents next to one such *pivot* form a
-   group: any two documents that share a prefix shingle share its pivot's group.
+   group: any two documents that share a prefix shingle share its pivot's group.  A
+   pair belongs to the smallest pivot that both have; their other groups skip it.
 3. Groups are cut into tiles by size band (a band and the one below it) and, when
    large, into square tiles by hash.  In a tile the bit counts of two bitmaps bound
    the symmetric difference from below, so the overlap from above; documents
@@ -37,9 +38,10 @@ from .runtime import components, table
 SHINGLE = 5
 TILE = 4096
 BAND = 1.34  # a little over 4/3: documents that link are at most one band apart
-SAMPLE_DOCS = 4096  # documents looked at for frequent shingles
-FREQUENT = 4  # of those, to count as frequent
-MAX_FREQUENT = 1 << 16
+SAMPLE_DOCS = 8192  # documents looked at for frequent shingles
+FREQUENT = 3  # of those, to count as frequent
+MAX_FREQUENT = 1 << 18
+OWNERS = 64  # pivots of a document that its rows carry
 TOKEN_BITS, DOC_BITS = 52, 12
 TOKEN_MASK = np.uint64((1 << 51) - 1)
 HOT_BIT = np.uint64(1 << 51)
@@ -181,6 +183,25 @@ def _allowed(a, b, n, side, below, i, j):
     return ok & (side[a] != side[b]) if i != j else ok
 
 
+def _owned(a, b, p, flat, off):
+    """Of the partners b of document a in the group of pivot p, those that share no smaller pivot with a."""
+    own = flat[off[a] : off[a + 1]]
+    own = own[own < p]
+    if not len(own) or not len(b):
+        return b
+    n = off[b + 1] - off[b]
+    hit = np.isin(flat[k.spread(n, off[b])], own)
+    return b[~np.logical_or.reduceat(hit, np.cumsum(n) - n)]
+
+
+def _pivot_lists(t: pa.Table, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pivots of the rows in the given order, joined, and the n+1 bounds; no list is empty."""
+    heads = t["head"].chunk(0)
+    off = heads.offsets.to_numpy().astype(np.int64)
+    n = np.diff(off)[order]
+    return heads.values.to_numpy()[k.spread(n, off[:-1][order])], np.concatenate([[0], np.cumsum(n)])
+
+
 def _fold(rows: list[bytes]) -> np.ndarray:
     """Bitmaps of one length: longer ones are folded onto half by exclusive or."""
     least = min(map(len, rows))
@@ -198,6 +219,8 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_all, side_all, below_all = (t[c].to_numpy(zero_copy_only=False)[order] for c in ("n", "side", "below"))
         i_all, j_all = (t[c].to_numpy()[order] for c in ("i", "j"))
         bits = t["bits"].chunk(0)
+        flat, cuts = _pivot_lists(t, order)
+        p_all = t["p"].to_numpy()[order]
         stay = np.zeros(len(order), dtype=bool)
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             if e - s < 2:
@@ -211,12 +234,12 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b = b[~stay[s + b]]
                 if len(b):
                     apart = np.bitwise_count(sig[b] ^ sig[a]).sum(axis=1, dtype=np.int64)
-                    good = 7 * apart <= n[a] + n[b]
-                    if good.any():
+                    b = _owned(s + a, s + b[7 * apart <= n[a] + n[b]], p_all[s], flat, cuts)
+                    if len(b):
                         stay[s + a] = True
-                        stay[s + b[good]] = True
+                        stay[b] = True
         if stay.any():
-            yield from t.select(["p", "g", "i", "j", "side", "below", "doc"]).take(pa.array(order[stay])).to_batches()
+            yield from t.select(["p", "g", "i", "j", "side", "below", "doc", "head"]).take(pa.array(order[stay])).to_batches()
 
 
 def _sets(hot: np.ndarray):
@@ -232,7 +255,7 @@ def _sets(hot: np.ndarray):
                 part = flat.slice(ends[i] - ends[0], int(times.sum()))
                 lens = np.diff(bounds)[row]
                 body = tok[k.spread(lens, bounds[:-1][row])]
-                names = ["p", "g", "i", "j", "side", "below"]
+                names = ["p", "g", "i", "j", "side", "below", "head"]
                 yield pa.RecordBatch.from_arrays([*(part.field(c) for c in names), pa.array(ids[i:j][row]), _binary(body, np.cumsum(lens) * 8)], names=[*names, "doc", "body"])
 
     return run
@@ -244,6 +267,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i_all, j_all = (t[c].to_numpy()[order] for c in ("i", "j"))
         raw, off = k.text_buffers(t["body"])
         toks, off = raw.view(k.U64), off // 8
+        flat, heads = _pivot_lists(t, order)
+        p_all = t["p"].to_numpy()[order]
         left, right = [], []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             if e - s < 2:
@@ -261,6 +286,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b = np.arange(a + 1, e - s)
                 b = b[(part[b] != part[a]) & (n[b] > 0)]
                 b = b[_allowed(a, b, n, side, below, i, j)]
+                b = _owned(s + a, s + b, p_all[s], flat, heads) - s
                 if not len(b) or not n[a]:
                     continue
                 own = rank[cuts[a] : cuts[a + 1]]
@@ -311,18 +337,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     hot = frequent_shingles(base)
     feat = table(base.mapInArrow(_features(hot), "doc long, n long, s1 long, s2 long, bits binary, head binary"), "features")
-    near = feat.select("doc", "head").mapInArrow(_tokens, "tok long, doc long").repartition("tok").mapInArrow(_pivots, "p long, doc long").distinct()
+    near = feat.select("doc", "head").mapInArrow(_tokens, "tok long, doc long").repartition("tok").mapInArrow(_pivots, "p long, doc long")
+    pivots = near.groupBy("doc").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(BAND))).cast("int")
     one = feat.where("n > 0").dropDuplicates(["doc"]).select("doc", "n", "bits", band.alias("band"))
-    put = table(near.join(one, "doc").select("p", "doc", "n", F.explode(F.array(F.struct(F.col("band").alias("g"), F.lit(False).alias("below")), F.struct((F.col("band") + 1).alias("g"), F.lit(True).alias("below")))).alias("x")).select("p", "x.g", "x.below", "doc", "n"), "members")
+    put = one.select("doc", "n", "band").join(pivots, "doc").select("doc", "n", "band", F.slice("ps", 1, OWNERS).alias("head"), F.explode("ps").alias("p"))
+    both = F.array(F.struct(F.col("band").alias("g"), F.lit(False).alias("below")), F.struct((F.col("band") + 1).alias("g"), F.lit(True).alias("below")))
+    put = table(put.select("p", "doc", "n", "head", F.explode(both).alias("x")).select("p", "x.g", "x.below", "doc", "n", "head"), "members")
     count = put.groupBy("p", "g").agg(F.count("*").alias("c"), F.min("below").alias("lone")).where("c > 1 and not lone")
     m = F.ceil(F.col("c") / TILE).cast("int")
-    put = put.join(count, ["p", "g"]).select("p", "g", "below", "doc", "n", m.alias("m")).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int"))
-    put = put.withColumn("o", F.explode(F.expr("sequence(0, m - 1)"))).select("p", "g", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "below", "doc", "n")
+    put = put.join(count, ["p", "g"]).select("p", "g", "below", "doc", "n", "head", m.alias("m")).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int"))
+    put = put.withColumn("o", F.explode(F.expr("sequence(0, m - 1)"))).select("p", "g", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "below", "doc", "n", "head")
     put = put.join(one.select("doc", "bits"), "doc").repartition("p", "g", "i", "j")
-    left = table(put.select("p", "g", "i", "j", "side", "below", "doc", "n", "bits").mapInArrow(_possible, "p long, g int, i int, j int, side int, below boolean, doc long"), "possible")
-    place = left.groupBy("doc").agg(F.collect_list(F.struct("p", "g", "i", "j", "side", "below")).alias("places"))
-    body = base.join(place, "doc").select("doc", "text", "places").mapInArrow(_sets(hot), "p long, g int, i int, j int, side int, below boolean, doc long, body binary")
+    key = "p long, g int, i int, j int, side int, below boolean"
+    left = table(put.select("p", "g", "i", "j", "side", "below", "doc", "n", "bits", "head").mapInArrow(_possible, key + ", doc long, head array<long>"), "possible")
+    place = left.groupBy("doc").agg(F.collect_list(F.struct("p", "g", "i", "j", "side", "below", "head")).alias("places"))
+    body = base.join(place, "doc").select("doc", "text", "places").mapInArrow(_sets(hot), key + ", head array<long>, doc long, body binary")
     links = body.repartition("p", "g", "i", "j").mapInArrow(_links, "a long, b long")
     first = feat.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("a"))
     same = feat.where("n > 0").select("doc", "s1", "s2", "n").join(first, ["s1", "s2", "n"]).where("doc > a").select("a", F.col("doc").alias("b"))

@@ -95,7 +95,7 @@ def test_cascade_is_exact_when_crowded(spark, monkeypatch):
     monkeypatch.setattr(op9, "MIN_BITS", 1 << 10)
     keys = spark.range(6000).selectExpr("concat('h', id) as key", "id % 7 = 0 as listed")
     cascade = op9.Cascade(keys, max_bits=1 << 12)
-    assert len(cascade.levels) > 3
+    assert len(cascade.levels) >= 3
     assert keys.where(cascade.contains(op9.F.col("key")) != op9.F.col("listed")).count() == 0
 
 
