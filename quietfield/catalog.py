@@ -443,12 +443,12 @@ def _planes(spark, sf) -> DataFrame:
 
 @query
 def lsb_stats(spark, sf):
-    return _planes(spark, sf).select("vec_id", F.round("lsb_mean", 9).alias("lsb_mean"), F.round("lsb_variance", 9).alias("lsb_variance"))
+    return _planes(spark, sf).select("vec_id", F.round("lsb_mean", 12).alias("lsb_mean"), F.round("lsb_variance", 12).alias("lsb_variance"))
 
 
 @query
 def lsb_block_variance(spark, sf):
-    return _planes(spark, sf).select("vec_id", F.round("block_variance", 9).alias("block_variance"))
+    return _planes(spark, sf).select("vec_id", F.round("block_variance", 12).alias("block_variance"))
 
 
 @query

@@ -265,8 +265,8 @@ SQL: dict[str, str] = {
     "ocr_token_dedupe": f"WITH {TOKENS} SELECT image_id, psm_order, seq, text, x, y FROM deduped",
     "ocr_mean_conf": f"WITH {TOKENS} SELECT image_id, num_text_boxes, round(mean_confidence, 6) AS mean_confidence, raw_text FROM read_text",
     "ocr_hits": f"WITH {TOKENS}, h AS (" + " UNION ALL ".join(f"SELECT image_id, '{name}' AS label, unnest(regexp_extract_all(raw_text, {q('(?i)' + p)})) AS text FROM read_text" for name, p in C.OCR_LABELS) + ") SELECT image_id, label, text, count(*) AS n FROM h GROUP BY ALL",
-    "lsb_stats": f"WITH {BITS} SELECT vec_id, round(avg(bit::DOUBLE), 9) AS lsb_mean, round(var_pop(bit::DOUBLE), 9) AS lsb_variance FROM bits GROUP BY vec_id",
-    "lsb_block_variance": f"WITH {PLANE} SELECT vec_id, round(bv, 9) AS block_variance FROM plane",
+    "lsb_stats": f"WITH {BITS} SELECT vec_id, round(avg(bit::DOUBLE), 12) AS lsb_mean, round(var_pop(bit::DOUBLE), 12) AS lsb_variance FROM bits GROUP BY vec_id",
+    "lsb_block_variance": f"WITH {PLANE} SELECT vec_id, round(bv, 12) AS block_variance FROM plane",
     "lsb_score": f"WITH {PLANE} SELECT vec_id, round(h, 9) AS lsb_entropy_norm, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.55::DOUBLE * abs(m - 0.5::DOUBLE) * 2.0::DOUBLE + 0.30::DOUBLE * least(abs(bv - 0.02::DOUBLE) * 10.0::DOUBLE, 1.0::DOUBLE) + 0.15::DOUBLE * h)), 9) AS lsb_variance_score FROM ent",
     "byte_entropy": f"WITH {BYTES}, u AS (SELECT vec_id, unnest(v) AS b FROM bytes) SELECT vec_id, round(entropy(b) / 8.0::DOUBLE, 6) AS byte_entropy FROM u GROUP BY vec_id",
     "gps_decimal": "SELECT doc_id, round((CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * ((doc_id % 90)::DOUBLE + (doc_id % 60)::DOUBLE / 60.0::DOUBLE + ((doc_id * 7) % 6000)::DOUBLE / 100.0::DOUBLE / 3600.0::DOUBLE), 9) AS latitude FROM documents",

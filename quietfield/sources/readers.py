@@ -27,7 +27,7 @@ def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
 def pictures(spark: SparkSession, root: str, excluded: tuple = ("merged",)) -> DataFrame:
     """Files one folder below root with a picture extension in any case: path, species (the folder), length, content.
 
-    Empty folders give no rows.  content is read only if it is selected.
+    Empty folders give no rows, and Spark's scan passes over empty files.  content is read only if it is selected.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
