@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,12 @@ LEVEL = 3
 MARGIN = 0.01  # a smaller relative margin is rejected
 BLOCK = 1 << 20  # long texts are compressed in blocks of this size, all of them
 FOLD = "held_out"
+OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The letters of a text, lower-cased, one space for anything between."""
+    return OTHER.sub(" ", text.lower()).strip().encode()
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
@@ -40,7 +47,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         body = b""
         for _, t in sorted(texts[lang]):
             if len(body) < DICT_BYTES:
-                body += t.lower().encode()[:TRAIN_BYTES] + b"\n"
+                body += letters(t)[:TRAIN_BYTES] + b"\n"
         out.append((lang, body[:DICT_BYTES]))
     return out
 
@@ -59,10 +66,10 @@ def _predict(model: list[tuple[str, bytes]]):
         for batch in batches:
             pred, score, reject = [], np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
             for row, text in enumerate(batch.column(1).to_pylist()):
-                if not by or not text or not any(map(str.isalpha, text)):
+                data = letters(text) if text else b""
+                if not by or not data or not any(map(str.isalpha, text)):
                     pred.append("und")
                     continue
-                data = text.lower().encode()
                 blocks = [data] if len(data) <= BLOCK else [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
                 sizes = [sum(len(c.compress(x)) for x in blocks) for _, c in by]
                 best = min(range(len(sizes)), key=sizes.__getitem__)
@@ -82,7 +89,7 @@ def _predict(model: list[tuple[str, bytes]]):
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score (0 to 1, from the margin) and rejected.
 
-    The whole text, lower-cased, is compressed with every dictionary; the smallest
+    The letters of the whole text, lower-cased, are compressed with every dictionary; the smallest
     output names the language, the more frequent language on a tie.  rejected: the
     margin to the next is narrower than MARGIN (lang_pred still names the best).  und,
     score 0, rejected: the text is null or has no letter, or nothing was learned.
