@@ -41,7 +41,9 @@ BAND = 1.34  # a little over 4/3: documents that link are at most one band apart
 SAMPLE_DOCS = 8192  # documents looked at for frequent shingles
 FREQUENT = 3  # of those, to count as frequent
 MAX_FREQUENT = 1 << 18
-OWNERS = 64  # pivots of a document that its rows carry
+OWNERS = 16  # pivots of a document that its rows carry
+TOKEN_ROWS = 2_500_000  # prefix shingles that one task sorts: 40 MB
+SENT_IDS = 4_000_000  # ids of documents with a possible partner that may be sent to every task: 32 MB
 TOKEN_BITS, DOC_BITS = 52, 12
 TOKEN_MASK = np.uint64((1 << 51) - 1)
 HOT_BIT = np.uint64(1 << 51)
@@ -337,7 +339,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     hot = frequent_shingles(base)
     feat = table(base.mapInArrow(_features(hot), "doc long, n long, s1 long, s2 long, bits binary, head binary"), "features")
-    near = feat.select("doc", "head").mapInArrow(_tokens, "tok long, doc long").repartition("tok").mapInArrow(_pivots, "p long, doc long")
+    # as few tasks as memory allows: the fewer, the more pairs repeat within one and go out once
+    tasks = math.ceil((feat.agg(F.sum(F.octet_length("head"))).first()[0] or 0) / 8 / TOKEN_ROWS) or 1
+    near = feat.select("doc", "head").mapInArrow(_tokens, "tok long, doc long").repartition(tasks, "tok").mapInArrow(_pivots, "p long, doc long")
     pivots = near.groupBy("doc").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(BAND))).cast("int")
     one = feat.where("n > 0").dropDuplicates(["doc"]).select("doc", "n", "bits", band.alias("band"))
@@ -352,7 +356,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = "p long, g int, i int, j int, side int, below boolean"
     left = table(put.select("p", "g", "i", "j", "side", "below", "doc", "n", "bits", "head").mapInArrow(_possible, key + ", doc long, head array<long>"), "possible")
     place = left.groupBy("doc").agg(F.collect_list(F.struct("p", "g", "i", "j", "side", "below", "head")).alias("places"))
-    body = base.join(place, "doc").select("doc", "text", "places").mapInArrow(_sets(hot), key + ", head array<long>, doc long, body binary")
+    # few documents have a possible partner; while their ids are few enough, the others' texts are not moved
+    texts = base.join(F.broadcast(left.select("doc").distinct()), "doc", "left_semi") if left.count() <= SENT_IDS else base
+    body = texts.join(place, "doc").select("doc", "text", "places").mapInArrow(_sets(hot), key + ", head array<long>, doc long, body binary")
     links = body.repartition("p", "g", "i", "j").mapInArrow(_links, "a long, b long")
     first = feat.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("a"))
     same = feat.where("n > 0").select("doc", "s1", "s2", "n").join(first, ["s1", "s2", "n"]).where("doc > a").select("a", F.col("doc").alias("b"))
