@@ -12,7 +12,7 @@ from .functions import containers as K
 from .functions import context, ocr, policy, provenance, redact, stego
 from .operators import datasets, metrics, models, vector
 from .oracles import SQL
-from .plans import simulate
+from .plans import simulate, views
 
 _registry: dict = {}
 
@@ -556,6 +556,14 @@ def gbt_train_eval(spark, sf):
     return metrics.binary_metrics(scored, by=["split"])
 
 
+@query
+def analysis_view(spark, sf):
+    """The report of each item, its grid and findings joined to text."""
+    own = views.analysis_view(_scored(spark, sf), policy.factors())
+    grid = F.array_join(F.array(*[F.concat(F.lit(k + "="), F.element_at("grid", k)) for k in policy.category_scores()]), ",")
+    return own.select("doc_id", "decision", F.round("ring", 8).alias("ring"), grid.alias("grid"), F.array_join("factors", "|").alias("factors"), "sanitize_now", "ask")
+
+
 def queries() -> dict:
     return dict(_registry)
 

@@ -273,5 +273,6 @@ SQL: dict[str, str] = {
     "safe_filename": "SELECT doc_id, 'sanitized_20240101_000000_' || substr(sha256(text), 1, 6) || '.jpg' AS safe_name FROM documents WHERE text IS NOT NULL",
     "allowed_files": f"WITH {ITEMS} SELECT doc_id, lower(list_extract(string_split(f, '.'), -1)) IN ('jpg', 'jpeg', 'png') AND contains(f, '.') AS allowed FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN filename WHEN 1 THEN upper(filename) WHEN 2 THEN filename || '.gif' ELSE replace(filename, '.', '') END AS f FROM items)",
     "event_json_keys": "WITH k AS (SELECT event_type, unnest(json_keys(props)) AS key FROM events WHERE props IS NOT NULL) SELECT event_type, key, count(*) AS n FROM k GROUP BY ALL",
+    "analysis_view": f"WITH {SCORED} SELECT doc_id, decision, round(risk_score / 100.0::DOUBLE, 8) AS ring, {" || ',' || ".join(f"'{k}=' || {level(v, k)}" for k, v in SCORES.items())} AS grid, array_to_string(list_filter([{', '.join(f'CASE WHEN {a} THEN {b} END' for a, b in FACTORS)}], lambda x: x IS NOT NULL), '|') AS factors, decision IN ('SANITIZE', 'QUARANTINE') AS sanitize_now, decision = 'REVIEW' AS ask FROM scored",
     "upload_limit": "SELECT count(*) FILTER (WHERE octet_length(encode(text)) <= 26214400) AS accepted, count(*) FILTER (WHERE octet_length(encode(text)) > 26214400) AS rejected FROM documents",
 }
