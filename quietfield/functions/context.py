@@ -18,6 +18,11 @@ def any_of(text: Column, words: list[str]) -> Column:
     return out
 
 
+def mentions(text: Column, words: list[str]) -> Column:
+    """As any_of for short texts: one pattern, which is quicker to plan."""
+    return text.rlike("|".join(words))
+
+
 def count_of(text: Column, words: list[str]) -> Column:
     """How many different words of the list text holds."""
     out = F.lit(0)
@@ -49,9 +54,9 @@ def filename_features(name: Column) -> dict[str, Column]:
     low = F.lower(base)
     flat = F.translate(low, " _-", "")
     generic = base.rlike(UNICODE + C.GENERIC_NAME)
-    fragment = any_of(low, C.RESERVE_FRAGMENTS)
+    fragment = mentions(low, C.RESERVE_FRAGMENTS)
     zone = low.rlike(C.ZONE_NUMBER)
-    keyword = any_of(flat, [w.replace(" ", "") for w in C.LOCATION_KEYWORDS])
+    keyword = mentions(flat, [w.replace(" ", "") for w in C.LOCATION_KEYWORDS])
     distance = F.translate(base, "_", " ").rlike(UNICODE + C.DISTANCE)
     digits = low.rlike(C.COORDINATE_DIGITS)
     score = F.when(generic, F.lit(0.02)).otherwise(F.lit(0.12)) + points(fragment, 0.45) + points(zone, 0.30) + points(keyword, 0.10) + points(distance, 0.25) + points(digits, 0.20)
@@ -76,7 +81,7 @@ def names_species(name: Column, species: list[str]) -> Column:
 def caption_features(caption: Column) -> dict[str, Column]:
     text = F.coalesce(caption, F.lit(""))
     low = F.lower(text)
-    fragment = any_of(low, C.RESERVE_FRAGMENTS)
+    fragment = mentions(low, C.RESERVE_FRAGMENTS)
     distance = text.rlike(UNICODE + C.DISTANCE)
     hits = count_of(low, C.LOCATION_KEYWORDS)
     pair = text.rlike(C.DECIMAL_PAIR)
