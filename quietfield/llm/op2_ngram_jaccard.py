@@ -42,6 +42,7 @@ SAMPLE_DOCS = 8192  # documents looked at for frequent shingles
 FREQUENT = 3  # of those, to count as frequent
 MAX_FREQUENT = 1 << 18
 OWNERS = 16  # pivots of a document that its rows carry
+LIST = 4096  # documents in one list of a pivot
 TOKEN_ROWS = 2_500_000  # prefix shingles that one task sorts: 40 MB
 SENT_IDS = 4_000_000  # ids of documents with a possible partner that may be sent to every task: 32 MB
 TOKEN_BITS, DOC_BITS = 52, 12
@@ -161,6 +162,30 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     p, doc = p[order], doc[order]
     new = np.ones(len(p), dtype=bool)
     new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
+    p, doc = p[new], doc[new]
+    if not len(p):
+        return
+    # one list of documents a pivot; a long list is cut by hash, so that no pivot's lists meet in one task
+    start = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    many = np.repeat(np.diff(np.append(start, len(p))) > LIST, np.diff(np.append(start, len(p))))
+    salt = np.where(many, 1 + (k.mix(doc.astype(k.U64)) % k.U64(64)).astype(np.int32), 0).astype(np.int32)
+    order = np.lexsort((doc, salt, p))
+    p, salt, doc = p[order], salt[order], doc[order]
+    start = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (salt[1:] != salt[:-1])))
+    yield pa.RecordBatch.from_arrays([pa.array(p[start]), pa.array(salt[start]), _binary(doc, np.append(start[1:], len(p)) * 8)], names=["p", "salt", "docs"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of a pivot from several tasks as rows (pivot, document), once each."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    raw, offsets = k.text_buffers(t["docs"])
+    doc, p = raw.view(np.int64), np.repeat(t["p"].to_numpy(), np.diff(offsets) // 8)
+    order = np.lexsort((doc, p))
+    p, doc = p[order], doc[order]
+    new = np.append(True, (p[1:] != p[:-1]) | (doc[1:] != doc[:-1]))
     yield pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(doc[new])], names=["p", "doc"])
 
 
@@ -341,7 +366,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     feat = table(base.mapInArrow(_features(hot), "doc long, n long, s1 long, s2 long, bits binary, head binary"), "features")
     # as few tasks as memory allows: the fewer, the more pairs repeat within one and go out once
     tasks = math.ceil((feat.agg(F.sum(F.octet_length("head"))).first()[0] or 0) / 8 / TOKEN_ROWS) or 1
-    near = feat.select("doc", "head").mapInArrow(_tokens, "tok long, doc long").repartition(tasks, "tok").mapInArrow(_pivots, "p long, doc long")
+    near = feat.select("doc", "head").mapInArrow(_tokens, "tok long, doc long").repartition(tasks, "tok").mapInArrow(_pivots, "p long, salt int, docs binary")
+    near = near.repartition("p", "salt").mapInArrow(_merged, "p long, doc long")
     pivots = near.groupBy("doc").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(BAND))).cast("int")
     one = feat.where("n > 0").dropDuplicates(["doc"]).select("doc", "n", "bits", band.alias("band"))

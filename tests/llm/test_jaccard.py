@@ -66,6 +66,7 @@ def test_matches_all_pairs(spark):
 def test_square_tiles_and_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(op2, "TILE", 7)
     monkeypatch.setattr(op2, "FREQUENT", 2)
+    monkeypatch.setattr(op2, "TOKEN_ROWS", 500)
     rows = corpus(2, 240)
     got = sorted(map(tuple, op2.jaccard_groups(frame(spark, rows)).collect()))
     assert got == brute(rows)
