@@ -274,8 +274,8 @@ def _sort(L: int, unit: int, same_doc: bool):
     return run
 
 
-def repeated_windows(keyed: DataFrame, by: str, L: int, K: int, same_doc: bool) -> DataFrame:
-    """Windows of keyed(doc, text) that occur earlier, as runs (doc, pos, width): starts pos .. pos+width-1.
+def repeated_windows(docs: DataFrame, by: str, L: int, K: int, same_doc: bool) -> DataFrame:
+    """Windows of docs(doc, text) that occur earlier, as runs (doc, pos, width): starts pos .. pos+width-1.
 
     by: 'bytes', 'words' or 'lines' (those with a word).  With K = L every window is its
     own anchor and no rims are left.  Earlier is a smaller doc, or with same_doc also an
@@ -283,26 +283,32 @@ def repeated_windows(keyed: DataFrame, by: str, L: int, K: int, same_doc: bool)
     """
     assert 0 < K <= L and L - K < 255
     symbols, unit = SYMBOLS[by]
-    rec = keyed.select("doc", "text").mapInArrow(_records(symbols, L, K, same_doc), RECORD)
+    # records are made where the texts are read; texts move only to meet their rims
+    rec = docs.select("doc", "text").mapInArrow(_records(symbols, L, K, same_doc), RECORD)
     met = table(rec.repartition("k").mapInArrow(_meet(same_doc), FOUND), "stretches")
     found = met.where("kind = 0").select("doc", "pos", "width")
     if K == L:
         return found
     rim = met.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("pos", ((F.col("width") * 256 + F.col("off")) * 2 + (F.col("kind") == 2).cast("int")).alias("meta"))).alias("rims"))
-    body = keyed.join(rim.hint("shuffle_hash"), "doc").select("doc", "text", "rims").mapInArrow(_fetch(symbols, L, unit), "lead binary, doc long, pos long, width int, body binary")
+    body = by_doc(docs).join(rim.hint("shuffle_hash"), "doc").select("doc", "text", "rims").mapInArrow(_fetch(symbols, L, unit), "lead binary, doc long, pos long, width int, body binary")
     sorted_out = body.repartitionByRange("lead").mapInArrow(_sort(L, unit, same_doc), "doc long, pos long, width int")
     return found.union(sorted_out)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, text) dealt by doc.  A null id counts as the largest one."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text")).repartition("doc")
+    """(doc, text).  A null id counts as the largest one."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+
+def by_doc(docs: DataFrame) -> DataFrame:
+    """docs dealt by doc: one exchange, which the joins on doc of one plan share."""
+    return docs.repartition("doc")
 
 
 def covered(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """docs(doc, text) with the runs of each document as a list `cover` (null where it has none)."""
     per_doc = windows.groupBy("doc").agg(F.collect_list(F.struct("pos", "width")).alias("cover"))
-    return docs.join(per_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "cover")
+    return by_doc(docs).join(per_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "cover")
 
 
 def cover_lists(column: pa.Array, offsets: np.ndarray, L: int, sizes: np.ndarray) -> np.ndarray:
