@@ -19,8 +19,14 @@ over, so only *anchored* suffixes travel:
    range the windows are sorted by multikey quicksort and neighbours compared; the
    first of each group of equal windows stays.  Windows that are equal share their
    leading symbols, so a splitter never separates them and the comparison across a
-   range boundary is between windows known to differ.  An anchor with more than
-   HOT different stretches is dealt by the windows' own symbols instead of its own.
+   range boundary is between windows known to differ.
+
+An anchor with many different stretches about it (a phrase in a third of all
+documents, each time in other company) must not meet in one task.  A bounded sample
+of documents names such hot anchors: their records are dealt by stretch instead of
+anchor, and their windows go singly to step 3, dealt by their own symbols, each only
+if no earlier equal one has left the same task.  Anchors that the sample misses but
+that have more than HOT stretches are treated so from step 3 on.
 
 The symbols are compared in step 3; in step 2 stretches count as equal when two
 64-bit hashes agree.
@@ -40,6 +46,10 @@ from .runtime import table
 
 PIECE = 1 << 20  # window starts handled at once
 HOT = 2048  # different stretches about one anchor before its windows are dealt singly
+SAMPLE_DOCS = 4096  # documents looked at for hot anchors
+SAMPLE_HOT = 8  # different stretches in the sample that make an anchor hot
+MAX_HOT = 4096  # hot anchors sent to the tasks
+SEEN = 1 << 20  # windows of hot anchors that a task remembers
 BLOCK = 1 << 20  # records settled at once in a task
 NULL_ID = (1 << 63) - 1
 
@@ -119,7 +129,42 @@ def _settle(h, s, doc, pos, same_doc: bool):
     return order, new, later
 
 
-def _records(symbols: Callable, L: int, K: int, same_doc: bool):
+def _pieces(symbols: Callable, L: int, K: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc, begin, width, offset, anchor hash, stretch hash) of the stretches, some documents at a time."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        raw, offsets = k.text_buffers(batch.column(1))
+        for i, j in k.doc_chunks(offsets):
+            sym, cuts = symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            longest = j - i == 1 and len(sym) > PIECE + L - 1
+            for base in range(0, len(sym) - L + 1, PIECE) if longest else (0,):
+                part = sym[base : base + PIECE + L - 1] if longest else sym
+                seq, begin, width, off, h, s = stretches(part, np.array([0, len(part)]) if longest else cuts, L, K)
+                if len(seq):
+                    yield ids[i:j][seq], begin - (0 if longest else cuts[seq]) + base, width, off, h, s
+
+
+def hot_anchors(docs: DataFrame, by: str, L: int, K: int) -> np.ndarray:
+    """Anchors with SAMPLE_HOT different stretches in about SAMPLE_DOCS documents, MAX_HOT at most."""
+    symbols = SYMBOLS[by][0]
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, docs.count() // SAMPLE_DOCS))) == 0)
+
+    def run(batches):
+        for _, _, _, _, h, s in _pieces(symbols, L, K, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_view(h)), pa.array(_view(s))], names=["h", "s"])
+
+    many = some.select("doc", "text").mapInArrow(run, "h long, s long").distinct().groupBy("h").count().where(F.col("count") >= SAMPLE_HOT)
+    rows = many.orderBy(F.desc("count"), "h").limit(MAX_HOT).select("h").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(k.U64))
+
+
+def _is_in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    if not len(some):
+        return np.zeros(len(values), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _records(symbols: Callable, L: int, K: int, same_doc: bool, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -129,25 +174,17 @@ def _records(symbols: Callable, L: int, K: int, same_doc: bool):
             order, new, later = _settle(h, s, doc, pos, same_doc)
             h, s, doc, pos, meta = h[order], s[order], doc[order], pos[order], meta[order]
             # what is known to repeat is dealt by its document; one of each stretch by its anchor
-            route = np.where(later, k.mix(doc.astype(k.U64) + (pos.astype(k.U64) << k.U64(32))), h)
-            flag = meta | (later.astype(np.int32) << 24)
+            own = _is_in(h, hot)
+            route = np.where(later, k.mix(doc.astype(k.U64) + (pos.astype(k.U64) << k.U64(32))), np.where(own, k.mix(h ^ k.mix(s)), h))
+            flag = meta | (later.astype(np.int32) << 24) | (own.astype(np.int32) << 25)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_view(route), _view(h), _view(s), doc, pos, flag)], names=["k", "h", "s", "doc", "pos", "meta"])
 
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            raw, offsets = k.text_buffers(batch.column(1))
-            for i, j in k.doc_chunks(offsets):
-                sym, cuts = symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                longest = j - i == 1 and len(sym) > PIECE + L - 1
-                for base in range(0, len(sym) - L + 1, PIECE) if longest else (0,):
-                    part = sym[base : base + PIECE + L - 1] if longest else sym
-                    seq, begin, width, off, h, s = stretches(part, np.array([0, len(part)]) if longest else cuts, L, K)
-                    if len(seq):
-                        held.append((h, s, ids[i:j][seq], begin - (0 if longest else cuts[seq]) + base, (width * 256 + off).astype(np.int32)))
-                        size += len(seq)
-                if size >= BLOCK:
-                    yield from flush()
-                    held, size = [], 0
+        for doc, begin, width, off, h, s in _pieces(symbols, L, K, batches):
+            held.append((h, s, doc, begin, (width * 256 + off).astype(np.int32)))
+            size += len(h)
+            if size >= BLOCK:
+                yield from flush()
+                held, size = [], 0
         if held:
             yield from flush()
 
@@ -167,7 +204,7 @@ def _meet(same_doc: bool):
         h, s = (t[c].to_numpy().view(k.U64) for c in ("h", "s"))
         doc, pos, meta = (t[c].to_numpy() for c in ("doc", "pos", "meta"))
         del t
-        done = meta >> 24 != 0
+        done = meta >> 24 & 1 == 1
         out = [(doc[done], pos[done], meta[done], np.zeros(done.sum(), np.int32), h[done])]
         keep = ~done
         h, s, doc, pos, meta = h[keep], s[keep], doc[keep], pos[keep], meta[keep]
@@ -181,8 +218,9 @@ def _meet(same_doc: bool):
         which = np.cumsum(group) - 1
         kinds = np.bincount(which[head], minlength=which[-1] + 1 if len(which) else 0)[which] if len(which) else np.zeros(0, np.int64)
         # of a stretch that counts as first in several places of one document, each place goes on
-        rim = ~later & (kinds > 1)
-        out.append((doc[rim], pos[rim], meta[rim], np.where(kinds[rim] > HOT, 2, 1).astype(np.int32), h[rim]))
+        own = meta >> 25 == 1
+        rim = ~later & ((kinds > 1) | own)
+        out.append((doc[rim], pos[rim], meta[rim], np.where((kinds[rim] > HOT) | own[rim], 2, 1).astype(np.int32), h[rim]))
         doc, pos, meta, kind, h = (np.concatenate(x) for x in zip(*out, strict=True))
         meta = meta & 0xFFFFFF
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, pos, (meta >> 8).astype(np.int32), kind, _view(h), (meta & 255).astype(np.int32))], names=["doc", "pos", "width", "kind", "h", "off"])
@@ -190,9 +228,32 @@ def _meet(same_doc: bool):
     return run
 
 
-def _fetch(symbols: Callable, L: int, unit: int):
-    """Rows (doc, text, rims) to one row per stretch, or per window of a hot anchor, with its symbols."""
+def _repeats_seen(seen: dict, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, same_doc: bool) -> np.ndarray:
+    """Which of the windows with hashes h start later than an equal one here or in seen, which is brought up to date."""
+    order = np.lexsort((pos, doc, h))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    heads = order[new]
+    low_doc, low_pos = doc[heads].copy(), pos[heads].copy()
+    for n, (key, d, p) in enumerate(zip(h[heads].tolist(), low_doc.tolist(), low_pos.tolist(), strict=True)):
+        was = seen.get(key)
+        if was is not None and was < (d, p):
+            low_doc[n], low_pos[n] = was
+        elif was is not None or len(seen) < SEEN:
+            seen[key] = (d, p)
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    out = doc > low_doc[group]
+    return out | ((doc == low_doc[group]) & (pos > low_pos[group])) if same_doc else out
+
+
+def _fetch(symbols: Callable, L: int, unit: int, same_doc: bool):
+    """Rows (doc, text, rims) to one row per stretch, or per window of a hot anchor, with its symbols.
+
+    A window of a hot anchor that repeats an earlier one of the same task goes on without symbols: it is settled.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
         for batch in batches:
             raw, offsets = k.text_buffers(batch.column(1))
             rims = batch.column(2)
@@ -222,12 +283,23 @@ def _fetch(symbols: Callable, L: int, unit: int):
                 good = end - begin >= L
                 begin, end, at, wide, lead_at, row = (x[good] for x in (begin, end, at, wide, lead_at, row))
                 lens = (end - begin) * unit
+                single = np.flatnonzero(hot[row])
+                if len(single):
+                    values = k.SYMBOL[part] if unit == 1 else sym
+                    again = _repeats_seen(seen, k.range_hash(k.prefix_hash(values), begin[single], end[single]), ids[i:j][seq[row[single]]], at[single], same_doc)
+                    lens[single[again]] = 0
                 idx = k.spread(lens, begin * unit)
                 body = data[idx]
                 off32 = np.zeros(len(lens) + 1, np.int32)
                 off32[1:] = np.cumsum(lens)
                 nlead = 16 if unit == 1 else 24
+                settled = lens == 0
                 lead = data[(((begin + lead_at) * unit)[:, None] + np.arange(nlead)).ravel()]
+                if settled.any():  # nothing to meet: dealt evenly
+                    lead = lead.reshape(-1, nlead)
+                    spot = k.mix((ids[i:j][seq[row[settled]]] * 65599 + at[settled]).astype(k.U64)).view(np.uint8).reshape(-1, 8)
+                    lead[settled] = np.tile(spot, (1, nlead // 8))
+                    lead = lead.ravel()
                 leads = np.arange(len(lens) + 1, dtype=np.int32) * nlead
                 mk = lambda o, d: pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o), pa.py_buffer(np.ascontiguousarray(d))])
                 yield pa.RecordBatch.from_arrays([mk(leads, lead), pa.array(ids[i:j][seq[row]]), pa.array(at), pa.array(wide.astype(np.int32)), mk(off32, body)], names=["lead", "doc", "pos", "width", "body"])
@@ -243,9 +315,14 @@ def _sort(L: int, unit: int, same_doc: bool):
             return
         t = t.combine_chunks()
         order = np.lexsort((t["pos"].to_numpy(), t["doc"].to_numpy()))
-        doc, pos, width = (t[c].to_numpy()[order] for c in ("doc", "pos", "width"))
         data, offsets = k.text_buffers(t["body"])
+        settled = np.diff(offsets)[order] == 0
+        done, order = order[settled], order[~settled]
+        yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[done]) for c in ("doc", "pos", "width")], names=["doc", "pos", "width"])
+        doc, pos, width = (t[c].to_numpy()[order] for c in ("doc", "pos", "width"))
         del t
+        if not len(order):
+            return
         starts = offsets[:-1][order]
         if unit == 1:
             padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(k.U64)
@@ -284,13 +361,16 @@ def repeated_windows(docs: DataFrame, by: str, L: int, K: int, same_doc: bool) -
     assert 0 < K <= L and L - K < 255
     symbols, unit = SYMBOLS[by]
     # records are made where the texts are read; texts move only to meet their rims
-    rec = docs.select("doc", "text").mapInArrow(_records(symbols, L, K, same_doc), RECORD)
+    hot = hot_anchors(docs, by, L, K) if K < L else np.zeros(0, k.U64)
+    rec = docs.select("doc", "text").mapInArrow(_records(symbols, L, K, same_doc, hot), RECORD)
     met = table(rec.repartition("k").mapInArrow(_meet(same_doc), FOUND), "stretches")
     found = met.where("kind = 0").select("doc", "pos", "width")
     if K == L:
         return found
     rim = met.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("pos", ((F.col("width") * 256 + F.col("off")) * 2 + (F.col("kind") == 2).cast("int")).alias("meta"))).alias("rims"))
-    body = by_doc(docs).join(rim.hint("shuffle_hash"), "doc").select("doc", "text", "rims").mapInArrow(_fetch(symbols, L, unit), "lead binary, doc long, pos long, width int, body binary")
+    body = by_doc(docs).join(rim.hint("shuffle_hash"), "doc").select("doc", "text", "rims")
+    # in a fixed order: what a task sends must be the same when it runs again
+    body = body.sortWithinPartitions("doc").mapInArrow(_fetch(symbols, L, unit, same_doc), "lead binary, doc long, pos long, width int, body binary")
     sorted_out = body.repartitionByRange("lead").mapInArrow(_sort(L, unit, same_doc), "doc long, pos long, width int")
     return found.union(sorted_out)
 

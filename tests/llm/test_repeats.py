@@ -100,6 +100,20 @@ def test_hot_anchor_and_pieces(spark, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(brute_bytes(rows, 50), key=key)
 
 
+def test_hot_anchors_by_sample(spark, monkeypatch):
+    import quietfield.llm.repeats as repeats
+
+    monkeypatch.setattr(repeats, "SAMPLE_HOT", 2)
+    rows = corpus(6)
+    df = frame(spark, rows)
+    assert len(repeats.hot_anchors(repeats.keyed(df), "bytes", 50, 32)) > 0
+    got = suffix_dedup(df, 50).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_bytes(rows, 50), key=key)
+    monkeypatch.setattr(repeats, "SEEN", 3)
+    got = substring_dedup(df, 7).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_words(rows, 7), key=key)
+
+
 def test_empty_and_repeated_rows(spark):
     assert suffix_dedup(frame(spark, [])).count() == 0
     assert substring_dedup(frame(spark, [])).count() == 0
