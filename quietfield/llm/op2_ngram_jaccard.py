@@ -18,7 +18,10 @@ with shingles that a bounded sample shows to be frequent put last.
 4. The sets of what is left are fetched and intersected exactly, skipping pairs that
    are already connected.  Each merger of two parts gives one edge, so a group of n
    documents gives at most n-1, whatever its number of links.
-5. Connected components over the edges.
+5. Connected components over the edges, each named by its smallest document.
+
+Inside, a document is a node: a 64-bit hash of id and text.  Rows share one only if both
+are equal, so rows without an id, or of one id with other texts, stay apart.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
@@ -129,8 +132,8 @@ def _features(hot: np.ndarray):
                 lens = np.where(send, n - (3 * n + 3) // 4 + 1, 0)
                 head = tok[k.spread(lens, bounds[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j]), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _binary(np.packbits(parity, bitorder="little"), np.cumsum(bits // 8)), _binary(head, np.cumsum(lens) * 8)],
-                    names=["doc", "n", "s1", "s2", "bits", "head"],
+                    [pa.array(ids[i:j]), batch.column(2).slice(i, j - i), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _binary(np.packbits(parity, bitorder="little"), np.cumsum(bits // 8)), _binary(head, np.cumsum(lens) * 8)],
+                    names=["doc", "id", "n", "s1", "s2", "bits", "head"],
                 )
 
     return run
@@ -351,19 +354,16 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows.collect()], dtype=np.int64).view(k.U64))
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
+def node(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The node of a row: rows of equal id and text share it.  A null id counts as the largest."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.col(text_col).cast("string"))
 
-    Words are runs of other than ASCII white space, A-Z lower-cased; a document's set
-    holds its distinct five-word shingles, or its whole sequence if it has fewer
-    words.  Two documents link when 100 * |intersection| >= 75 * |union|.  Null and
-    blank texts have an empty set, which links with nothing.  A null id counts as the
-    largest and comes back as null.  Rows that share an id are one node; each row gets
-    its own size.  An empty table gives no rows; other columns are not looked at.
-    """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+def jaccard_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: node, id (NULL_ID for null), n (shingles), low_id and low_node (of what it reaches, the least by id, then node)."""
+    base = docs.select(node(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
     hot = frequent_shingles(base)
-    feat = table(base.mapInArrow(_features(hot), "doc long, n long, s1 long, s2 long, bits binary, head binary"), "features")
+    feat = table(base.mapInArrow(_features(hot), "doc long, id long, n long, s1 long, s2 long, bits binary, head binary"), "features")
     # as few tasks as memory allows: the fewer, the more pairs repeat within one and go out once
     tasks = math.ceil((feat.agg(F.sum(F.octet_length("head"))).first()[0] or 0) / 8 / TOKEN_ROWS) or 1
     near = feat.select("doc", "head").mapInArrow(_tokens, "tok long, doc long").repartition(tasks, "tok").mapInArrow(_pivots, "p long, salt int, docs binary")
@@ -389,9 +389,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = feat.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("a"))
     same = feat.where("n > 0").select("doc", "s1", "s2", "n").join(first, ["s1", "s2", "n"]).where("doc > a").select("a", F.col("doc").alias("b"))
     comp = components(links.union(same))
-    out = feat.select("doc", "n").join(comp, feat["doc"] == comp["node"], "left")
-    whole = F.coalesce("component", "doc")
-    return out.select(F.when(F.col("doc") < NULL_ID, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(whole < NULL_ID, whole).alias("component_id"))
+    # the least node of a component is not among its nodes there
+    comp = comp.union(comp.select("component", "component").distinct())
+    rows = feat.select(F.col("doc").alias("node"), "id", "n")
+    low = rows.join(comp, "node").groupBy("component").agg(F.min(F.struct("id", "node")).alias("low"))
+    out = rows.join(comp.join(low, "component").select("node", "low"), "node", "left")
+    return out.select("node", "id", "n", F.coalesce("low.id", "id").alias("low_id"), F.coalesce("low.node", "node").alias("low_node"))
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
+
+    Words are runs of other than ASCII white space, A-Z lower-cased; a document's set
+    holds its distinct five-word shingles, or its whole sequence if it has fewer
+    words.  Two documents link when 100 * |intersection| >= 75 * |union|.  Null and
+    blank texts have an empty set, which links with nothing.  A null id counts as the
+    largest and comes back as null.  Only rows that repeat id and text are one document:
+    rows without an id, or of one id with different texts, link by their own texts.
+    An empty table gives no rows; other columns are not looked at.
+    """
+    named = lambda c: F.when(F.col(c) < NULL_ID, F.col(c))
+    return jaccard_nodes(docs, id_col, text_col).select(named("id").alias("doc_id"), F.col("n").alias("n_shingles"), named("low_id").alias("component_id"))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -76,3 +76,14 @@ def test_empty_and_repeated(spark):
     assert op2.jaccard_groups(frame(spark, [])).count() == 0
     got = op2.jaccard_groups(frame(spark, [(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "z")])).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, 1, 5), (5, 1, 5), (None, 1, 5), (7, 1, 7)]))
+
+
+def test_rows_without_an_id_link_by_their_own_texts(spark):
+    r = random.Random(7)
+    text = lambda n: " ".join("u%d" % r.randrange(10**6) for _ in range(n))
+    a, b, c, d = text(40), text(90), text(60), text(200)
+    near = d + " more words"
+    rows = [(1, a), (2, b), (3, c), (None, a), (None, b), (None, d), (8, near), (9, c), (9, text(30)), (10, None), (None, None), (None, text(50))]
+    got = op2.jaccard_groups(frame(spark, rows)).collect()
+    want = [(1, 36, 1), (2, 86, 2), (3, 56, 3), (None, 36, 1), (None, 86, 2), (None, 196, 8), (8, 198, 8), (9, 56, 3), (9, 26, 9), (10, 0, 10), (None, 0, None), (None, 46, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
