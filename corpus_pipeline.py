@@ -25,16 +25,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each linked group the document of smallest id stays; of rows that repeat its id, one."""
-    groups = op2_ngram_jaccard.jaccard_groups(docs)
-    heads = groups.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
+    """Of each linked group the document of smallest id stays, one row of those that repeat its id and text.
+
+    A null id counts as the largest.  Among rows of a group that share the smallest id, or
+    have none, one text stays; rows without id and words are copies of nothing and all stay.
+    """
+    heads = op2_ngram_jaccard.jaccard_nodes(docs).where("node = low_node").select(F.col("node").alias("_head")).distinct()
     names = docs.columns
-    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(c) for c in names]).alias("_row"))
-    stay = own.where("_id is not null").join(heads, F.col("_id") == F.col("_head")).groupBy("_id").agg(F.first("_row").alias("_row"))
-    # rows without an id are of one node, the largest: they stay only if nothing smaller is linked to it
-    alone = groups.where("doc_id is null and component_id is null").limit(1).select(F.lit(1).alias("_alone"))
-    rest = own.where("_id is null").limit(1).join(alone)
-    return stay.select("_row.*").union(rest.select("_row.*"))
+    lone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = docs.where(~lone).select(op2_ngram_jaccard.node().alias("_node"), F.xxhash64(*names).alias("_tie"), F.struct(*[F.col(c) for c in names]).alias("_row"))
+    stay = own.join(heads, F.col("_node") == F.col("_head")).groupBy("_node").agg(F.min_by("_row", "_tie").alias("_row"))
+    return stay.select("_row.*").union(docs.where(lone))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

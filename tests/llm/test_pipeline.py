@@ -103,3 +103,15 @@ def test_empty(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark, tmp_path):
+    r = random.Random(4)
+    text = lambda n: " ".join("u%d" % r.randrange(10**6) for _ in range(n))
+    a, b, c, d, e = (text(60) for _ in range(5))
+    keep = [(1, a), (2, b), (None, c), (None, d), (5, e), (5, text(40)), (None, None), (None, " ")]
+    gone = [(None, a), (3, b), (None, a + " x"), (None, c)]
+    docs = [(i, t, "en", "s1", 9) for i, t in keep + gone]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path))
+    assert rows(got) == sorted([(i, t, "en", "s1", 9) for i, t in keep], key=str)
