@@ -47,7 +47,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     A byte goes if a string of `length` bytes that covers it also starts earlier: in
     a document of smaller id, or earlier in the same document.  A null or empty text
     has no bytes.  A null id counts as the largest.  Rows that repeat an id and text
-    count as one document and each get its result.  An empty table gives no rows.
+    count as one document and each get its result; documents that share an id, or have
+    none, but not their text are in a fixed order.  An empty table gives no rows.
     Columns other than id and text are not looked at.
     """
     base = keyed(docs, id_col, text_col)

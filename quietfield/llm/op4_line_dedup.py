@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import NULL_ID, cover_lists, covered, keyed, line_bounds, repeated_windows
+from .repeats import NULL_ID, cover_lists, covered, keyed, line_bounds, repeated_windows, signature
 
 LINES = 3
 
@@ -55,7 +55,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are parts between \\n; only those with a word count, others stay.  A window
     is three such lines in a row, compared byte by byte.  A window that also starts in
     a document of smaller id, or earlier in the same document, is a later occurrence:
-    the lines it covers go, overlaps merged.  What is kept is joined by \\n.  A document
+    the lines it covers go, overlaps merged.  Documents that share an id, or have none,
+    but not their text are in a fixed order, by a hash of it.  What is kept is joined by \\n.  A document
     of fewer than three lines keeps all.  A null text is empty; a null id counts as the
     largest; rows that repeat an id and text count as one document and each get its
     result; an empty table gives no rows; other columns are not looked at.
@@ -69,13 +70,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated lines cut from text, its length in n_chars; documents left without a word go.
 
-    A document that had no word before stays as it is.  Rows of one id with different
-    texts would share their marks, so ids are expected to be unique.
+    A document that had no word before stays as it is.  Ids need not be unique: marks
+    belong to the id and the text.
     """
     names = docs.columns
     base = keyed(docs)
     windows = repeated_windows(base, "lines", LINES, LINES, True)
-    carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_c{n}") for n, c in enumerate(names) if c != "text"])
+    carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"), signature().alias("sig"), *[F.col(c).alias(f"_c{n}") for n, c in enumerate(names) if c != "text"])
     rows = covered_rows(carried, windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +109,9 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
 def covered_rows(carried: DataFrame, windows: DataFrame) -> DataFrame:
     """As repeats.covered, with the other columns of carried behind."""
-    per_doc = windows.groupBy("doc").agg(F.collect_list(F.struct("pos", "width")).alias("cover"))
-    rest = [c for c in carried.columns if c not in ("doc", "text")]
-    return carried.join(per_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "cover", *rest)
+    per_doc = windows.groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", "width")).alias("cover"))
+    rest = [c for c in carried.columns if c not in ("doc", "text", "sig")]
+    return carried.join(per_doc.hint("shuffle_hash"), ["doc", "sig"], "left").select("doc", "text", "cover", *rest)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -58,8 +58,9 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     window by window at the rims.  A word goes if a window that covers it also starts
     in a document of smaller id.  Repeats inside one document do not count.  Null or
     blank texts have no words; a null id counts as the largest; rows that repeat an id
-    and text count as one document and each get its result; an empty table gives no
-    rows; other columns are not looked at.
+    and text count as one document and each get its result; documents that share an id,
+    or have none, but not their text are in a fixed order; an empty table gives no rows;
+    other columns are not looked at.
     """
     base = keyed(docs, id_col, text_col)
     windows = repeated_windows(base, "words", length, min(ANCHOR, length), False)

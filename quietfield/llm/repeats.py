@@ -30,6 +30,10 @@ that have more than HOT stretches are treated so from step 3 on.
 
 The symbols are compared in step 3; in step 2 stretches count as equal when two
 64-bit hashes agree.
+
+A document is (doc, sig): its id, and a hash of its text that tells rows without an id, or
+of one id, apart.  Documents are in order of doc, then sig, so that of a window that such
+rows share one stays, and marks go only to the text they were found in.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
@@ -53,8 +57,8 @@ SEEN = 1 << 20  # windows of hot anchors that a task remembers
 BLOCK = 1 << 20  # records settled at once in a task
 NULL_ID = (1 << 63) - 1
 
-RECORD = "k long, h long, s long, doc long, pos long, meta int"
-FOUND = "doc long, pos long, width int, kind int, h long, off int"
+RECORD = "k long, h long, s long, doc long, sig long, pos long, meta int"
+FOUND = "doc long, sig long, pos long, width int, kind int, h long, off int"
 
 
 def _view(x: np.ndarray) -> np.ndarray:
@@ -116,23 +120,23 @@ def line_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 SYMBOLS = {"bytes": (byte_symbols, 1), "words": (word_symbols, 8), "lines": (line_symbols, 8)}
 
 
-def _settle(h, s, doc, pos, same_doc: bool):
-    """Order by (h, s, doc, pos), where each group (h, s) begins, and which rows repeat an earlier one."""
-    order = np.lexsort((pos, doc, s, h))
-    h, s, doc, pos = h[order], s[order], doc[order], pos[order]
+def _settle(h, s, doc, sig, pos, same_doc: bool):
+    """Order by (h, s, doc, sig, pos), where each group (h, s) begins, and which rows repeat an earlier one."""
+    order = np.lexsort((pos, sig, doc, s, h))
+    h, s, doc, sig, pos = h[order], s[order], doc[order], sig[order], pos[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = doc > doc[lead]
+    later = (doc > doc[lead]) | (sig != sig[lead])
     if same_doc:
-        later |= (doc == doc[lead]) & (pos > pos[lead])
+        later |= pos > pos[lead]
     return order, new, later
 
 
 def _pieces(symbols: Callable, L: int, K: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(doc, begin, width, offset, anchor hash, stretch hash) of the stretches, some documents at a time."""
+    """(doc, sig, begin, width, offset, anchor hash, stretch hash) of the stretches, some documents at a time."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, sigs = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
         raw, offsets = k.text_buffers(batch.column(1))
         for i, j in k.doc_chunks(offsets):
             sym, cuts = symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -141,19 +145,19 @@ def _pieces(symbols: Callable, L: int, K: int, batches: Iterator[pa.RecordBatch]
                 part = sym[base : base + PIECE + L - 1] if longest else sym
                 seq, begin, width, off, h, s = stretches(part, np.array([0, len(part)]) if longest else cuts, L, K)
                 if len(seq):
-                    yield ids[i:j][seq], begin - (0 if longest else cuts[seq]) + base, width, off, h, s
+                    yield ids[i:j][seq], sigs[i:j][seq], begin - (0 if longest else cuts[seq]) + base, width, off, h, s
 
 
 def hot_anchors(docs: DataFrame, by: str, L: int, K: int) -> np.ndarray:
     """Anchors with SAMPLE_HOT different stretches in about SAMPLE_DOCS documents, MAX_HOT at most."""
     symbols = SYMBOLS[by][0]
-    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, docs.count() // SAMPLE_DOCS))) == 0)
+    some = docs.where(F.pmod(F.xxhash64("doc", "sig"), F.lit(max(1, docs.count() // SAMPLE_DOCS))) == 0)
 
     def run(batches):
-        for _, _, _, _, h, s in _pieces(symbols, L, K, batches):
+        for *_, h, s in _pieces(symbols, L, K, batches):
             yield pa.RecordBatch.from_arrays([pa.array(_view(h)), pa.array(_view(s))], names=["h", "s"])
 
-    many = some.select("doc", "text").mapInArrow(run, "h long, s long").distinct().groupBy("h").count().where(F.col("count") >= SAMPLE_HOT)
+    many = some.select("doc", "text", "sig").mapInArrow(run, "h long, s long").distinct().groupBy("h").count().where(F.col("count") >= SAMPLE_HOT)
     rows = many.orderBy(F.desc("count"), "h").limit(MAX_HOT).select("h").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(k.U64))
 
@@ -170,17 +174,17 @@ def _records(symbols: Callable, L: int, K: int, same_doc: bool, hot: np.ndarray)
         size = 0
 
         def flush():
-            h, s, doc, pos, meta = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, new, later = _settle(h, s, doc, pos, same_doc)
-            h, s, doc, pos, meta = h[order], s[order], doc[order], pos[order], meta[order]
+            h, s, doc, sig, pos, meta = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, new, later = _settle(h, s, doc, sig, pos, same_doc)
+            h, s, doc, sig, pos, meta = h[order], s[order], doc[order], sig[order], pos[order], meta[order]
             # what is known to repeat is dealt by its document; one of each stretch by its anchor
             own = _is_in(h, hot)
-            route = np.where(later, k.mix(doc.astype(k.U64) + (pos.astype(k.U64) << k.U64(32))), np.where(own, k.mix(h ^ k.mix(s)), h))
+            route = np.where(later, k.mix((doc ^ sig).astype(k.U64) + (pos.astype(k.U64) << k.U64(32))), np.where(own, k.mix(h ^ k.mix(s)), h))
             flag = meta | (later.astype(np.int32) << 24) | (own.astype(np.int32) << 25)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_view(route), _view(h), _view(s), doc, pos, flag)], names=["k", "h", "s", "doc", "pos", "meta"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_view(route), _view(h), _view(s), doc, sig, pos, flag)], names=["k", "h", "s", "doc", "sig", "pos", "meta"])
 
-        for doc, begin, width, off, h, s in _pieces(symbols, L, K, batches):
-            held.append((h, s, doc, begin, (width * 256 + off).astype(np.int32)))
+        for doc, sig, begin, width, off, h, s in _pieces(symbols, L, K, batches):
+            held.append((h, s, doc, sig, begin, (width * 256 + off).astype(np.int32)))
             size += len(h)
             if size >= BLOCK:
                 yield from flush()
@@ -202,15 +206,15 @@ def _meet(same_doc: bool):
         if t is None:
             return
         h, s = (t[c].to_numpy().view(k.U64) for c in ("h", "s"))
-        doc, pos, meta = (t[c].to_numpy() for c in ("doc", "pos", "meta"))
+        doc, sig, pos, meta = (t[c].to_numpy() for c in ("doc", "sig", "pos", "meta"))
         del t
         done = meta >> 24 & 1 == 1
-        out = [(doc[done], pos[done], meta[done], np.zeros(done.sum(), np.int32), h[done])]
+        out = [(doc[done], sig[done], pos[done], meta[done], np.zeros(done.sum(), np.int32), h[done])]
         keep = ~done
-        h, s, doc, pos, meta = h[keep], s[keep], doc[keep], pos[keep], meta[keep]
-        order, new, later = _settle(h, s, doc, pos, same_doc)
-        h, doc, pos, meta = h[order], doc[order], pos[order], meta[order]
-        out.append((doc[later], pos[later], meta[later], np.zeros(later.sum(), np.int32), h[later]))
+        h, s, doc, sig, pos, meta = h[keep], s[keep], doc[keep], sig[keep], pos[keep], meta[keep]
+        order, new, later = _settle(h, s, doc, sig, pos, same_doc)
+        h, doc, sig, pos, meta = h[order], doc[order], sig[order], pos[order], meta[order]
+        out.append((doc[later], sig[later], pos[later], meta[later], np.zeros(later.sum(), np.int32), h[later]))
         # one of each stretch goes on if its anchor has others
         head = new
         group = np.ones(len(h), dtype=bool)
@@ -220,35 +224,35 @@ def _meet(same_doc: bool):
         # of a stretch that counts as first in several places of one document, each place goes on
         own = meta >> 25 == 1
         rim = ~later & ((kinds > 1) | own)
-        out.append((doc[rim], pos[rim], meta[rim], np.where((kinds[rim] > HOT) | own[rim], 2, 1).astype(np.int32), h[rim]))
-        doc, pos, meta, kind, h = (np.concatenate(x) for x in zip(*out, strict=True))
+        out.append((doc[rim], sig[rim], pos[rim], meta[rim], np.where((kinds[rim] > HOT) | own[rim], 2, 1).astype(np.int32), h[rim]))
+        doc, sig, pos, meta, kind, h = (np.concatenate(x) for x in zip(*out, strict=True))
         meta = meta & 0xFFFFFF
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, pos, (meta >> 8).astype(np.int32), kind, _view(h), (meta & 255).astype(np.int32))], names=["doc", "pos", "width", "kind", "h", "off"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, sig, pos, (meta >> 8).astype(np.int32), kind, _view(h), (meta & 255).astype(np.int32))], names=["doc", "sig", "pos", "width", "kind", "h", "off"])
 
     return run
 
 
-def _repeats_seen(seen: dict, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, same_doc: bool) -> np.ndarray:
+def _repeats_seen(seen: dict, h: np.ndarray, doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, same_doc: bool) -> np.ndarray:
     """Which of the windows with hashes h start later than an equal one here or in seen, which is brought up to date."""
-    order = np.lexsort((pos, doc, h))
+    order = np.lexsort((pos, sig, doc, h))
     new = np.ones(len(h), dtype=bool)
     new[1:] = h[order][1:] != h[order][:-1]
     heads = order[new]
-    low_doc, low_pos = doc[heads].copy(), pos[heads].copy()
-    for n, (key, d, p) in enumerate(zip(h[heads].tolist(), low_doc.tolist(), low_pos.tolist(), strict=True)):
+    low_doc, low_sig, low_pos = doc[heads].copy(), sig[heads].copy(), pos[heads].copy()
+    for n, (key, d, g, p) in enumerate(zip(h[heads].tolist(), low_doc.tolist(), low_sig.tolist(), low_pos.tolist(), strict=True)):
         was = seen.get(key)
-        if was is not None and was < (d, p):
-            low_doc[n], low_pos[n] = was
+        if was is not None and was < (d, g, p):
+            low_doc[n], low_sig[n], low_pos[n] = was
         elif was is not None or len(seen) < SEEN:
-            seen[key] = (d, p)
+            seen[key] = (d, g, p)
     group = np.empty(len(h), np.int64)
     group[order] = np.cumsum(new) - 1
-    out = doc > low_doc[group]
-    return out | ((doc == low_doc[group]) & (pos > low_pos[group])) if same_doc else out
+    out = (doc > low_doc[group]) | (sig != low_sig[group])
+    return out | (pos > low_pos[group]) if same_doc else out
 
 
 def _fetch(symbols: Callable, L: int, unit: int, same_doc: bool):
-    """Rows (doc, text, rims) to one row per stretch, or per window of a hot anchor, with its symbols.
+    """Rows (doc, text, rims, sig) to one row per stretch, or per window of a hot anchor, with its symbols.
 
     A window of a hot anchor that repeats an earlier one of the same task goes on without symbols: it is settled.
     """
@@ -261,7 +265,7 @@ def _fetch(symbols: Callable, L: int, unit: int, same_doc: bool):
             flat = rims.flatten()
             pos, meta = flat.field("pos").to_numpy(), flat.field("meta").to_numpy()
             ends = ends - ends[0]
-            ids = batch.column(0).to_numpy()
+            ids, sigs = (batch.column(c).to_numpy() for c in (0, 3))
             for i, j in k.doc_chunks(offsets):
                 part = raw[offsets[i] : offsets[j]]
                 if unit == 1:
@@ -286,7 +290,7 @@ def _fetch(symbols: Callable, L: int, unit: int, same_doc: bool):
                 single = np.flatnonzero(hot[row])
                 if len(single):
                     values = k.SYMBOL[part] if unit == 1 else sym
-                    again = _repeats_seen(seen, k.range_hash(k.prefix_hash(values), begin[single], end[single]), ids[i:j][seq[row[single]]], at[single], same_doc)
+                    again = _repeats_seen(seen, k.range_hash(k.prefix_hash(values), begin[single], end[single]), ids[i:j][seq[row[single]]], sigs[i:j][seq[row[single]]], at[single], same_doc)
                     lens[single[again]] = 0
                 idx = k.spread(lens, begin * unit)
                 body = data[idx]
@@ -297,12 +301,12 @@ def _fetch(symbols: Callable, L: int, unit: int, same_doc: bool):
                 lead = data[(((begin + lead_at) * unit)[:, None] + np.arange(nlead)).ravel()]
                 if settled.any():  # nothing to meet: dealt evenly
                     lead = lead.reshape(-1, nlead)
-                    spot = k.mix((ids[i:j][seq[row[settled]]] * 65599 + at[settled]).astype(k.U64)).view(np.uint8).reshape(-1, 8)
+                    spot = k.mix(((ids ^ sigs)[i:j][seq[row[settled]]] * 65599 + at[settled]).astype(k.U64)).view(np.uint8).reshape(-1, 8)
                     lead[settled] = np.tile(spot, (1, nlead // 8))
                     lead = lead.ravel()
                 leads = np.arange(len(lens) + 1, dtype=np.int32) * nlead
                 mk = lambda o, d: pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o), pa.py_buffer(np.ascontiguousarray(d))])
-                yield pa.RecordBatch.from_arrays([mk(leads, lead), pa.array(ids[i:j][seq[row]]), pa.array(at), pa.array(wide.astype(np.int32)), mk(off32, body)], names=["lead", "doc", "pos", "width", "body"])
+                yield pa.RecordBatch.from_arrays([mk(leads, lead), pa.array(ids[i:j][seq[row]]), pa.array(sigs[i:j][seq[row]]), pa.array(at), pa.array(wide.astype(np.int32)), mk(off32, body)], names=["lead", "doc", "sig", "pos", "width", "body"])
 
     return run
 
@@ -314,12 +318,12 @@ def _sort(L: int, unit: int, same_doc: bool):
         if t is None:
             return
         t = t.combine_chunks()
-        order = np.lexsort((t["pos"].to_numpy(), t["doc"].to_numpy()))
+        order = np.lexsort((t["pos"].to_numpy(), t["sig"].to_numpy(), t["doc"].to_numpy()))
         data, offsets = k.text_buffers(t["body"])
         settled = np.diff(offsets)[order] == 0
         done, order = order[settled], order[~settled]
-        yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[done]) for c in ("doc", "pos", "width")], names=["doc", "pos", "width"])
-        doc, pos, width = (t[c].to_numpy()[order] for c in ("doc", "pos", "width"))
+        yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[done]) for c in ("doc", "sig", "pos", "width")], names=["doc", "sig", "pos", "width"])
+        doc, sig, pos, width = (t[c].to_numpy()[order] for c in ("doc", "sig", "pos", "width"))
         del t
         if not len(order):
             return
@@ -339,56 +343,61 @@ def _sort(L: int, unit: int, same_doc: bool):
         p = k.spread(width, pos)
         by, first = k.multikey_order(len(at), lambda d, i: w[at[i] + steps[d]], len(steps))
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        d, q = doc[item[by]], p[by]
-        later = d > d[lead]
+        d, g, q = doc[item[by]], sig[item[by]], p[by]
+        later = (d > d[lead]) | (g != g[lead])
         if same_doc:
-            later |= (d == d[lead]) & (q > q[lead])
+            later |= q > q[lead]
         again = np.zeros(len(at), dtype=bool)
         again[by] = later
         b, e = k.runs(again, np.concatenate([[0], np.cumsum(width)]))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[item[b]]), pa.array(p[b]), pa.array((e - b).astype(np.int32))], names=["doc", "pos", "width"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[item[b]]), pa.array(sig[item[b]]), pa.array(p[b]), pa.array((e - b).astype(np.int32))], names=["doc", "sig", "pos", "width"])
 
     return run
 
 
 def repeated_windows(docs: DataFrame, by: str, L: int, K: int, same_doc: bool) -> DataFrame:
-    """Windows of docs(doc, text) that occur earlier, as runs (doc, pos, width): starts pos .. pos+width-1.
+    """Windows of docs(doc, text, sig) that occur earlier, as runs (doc, sig, pos, width): starts pos .. pos+width-1.
 
     by: 'bytes', 'words' or 'lines' (those with a word).  With K = L every window is its
-    own anchor and no rims are left.  Earlier is a smaller doc, or with same_doc also an
+    own anchor and no rims are left.  Earlier is a smaller (doc, sig), or with same_doc also an
     earlier start in the same document.  K must be at most 255 below L.
     """
     assert 0 < K <= L and L - K < 255
     symbols, unit = SYMBOLS[by]
     # records are made where the texts are read; texts move only to meet their rims
     hot = hot_anchors(docs, by, L, K) if K < L else np.zeros(0, k.U64)
-    rec = docs.select("doc", "text").mapInArrow(_records(symbols, L, K, same_doc, hot), RECORD)
+    rec = docs.select("doc", "text", "sig").mapInArrow(_records(symbols, L, K, same_doc, hot), RECORD)
     met = table(rec.repartition("k").mapInArrow(_meet(same_doc), FOUND), "stretches")
-    found = met.where("kind = 0").select("doc", "pos", "width")
+    found = met.where("kind = 0").select("doc", "sig", "pos", "width")
     if K == L:
         return found
-    rim = met.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("pos", ((F.col("width") * 256 + F.col("off")) * 2 + (F.col("kind") == 2).cast("int")).alias("meta"))).alias("rims"))
-    body = by_doc(docs).join(rim.hint("shuffle_hash"), "doc").select("doc", "text", "rims")
+    rim = met.where("kind > 0").groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", ((F.col("width") * 256 + F.col("off")) * 2 + (F.col("kind") == 2).cast("int")).alias("meta"))).alias("rims"))
+    body = by_doc(docs).join(rim.hint("shuffle_hash"), ["doc", "sig"]).select("doc", "text", "rims", "sig")
     # in a fixed order: what a task sends must be the same when it runs again
-    body = body.sortWithinPartitions("doc").mapInArrow(_fetch(symbols, L, unit, same_doc), "lead binary, doc long, pos long, width int, body binary")
-    sorted_out = body.repartitionByRange("lead").mapInArrow(_sort(L, unit, same_doc), "doc long, pos long, width int")
+    body = body.sortWithinPartitions("doc", "sig").mapInArrow(_fetch(symbols, L, unit, same_doc), "lead binary, doc long, sig long, pos long, width int, body binary")
+    sorted_out = body.repartitionByRange("lead").mapInArrow(_sort(L, unit, same_doc), "doc long, sig long, pos long, width int")
     return found.union(sorted_out)
 
 
+def signature(text_col: str = "text") -> Column:
+    """A hash of the text; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, text).  A null id counts as the largest one."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    """(doc, text, sig).  A null id counts as the largest one."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"), signature(text_col).alias("sig"))
 
 
 def by_doc(docs: DataFrame) -> DataFrame:
-    """docs dealt by doc: one exchange, which the joins on doc of one plan share."""
-    return docs.repartition("doc")
+    """docs dealt by (doc, sig): one exchange, which the joins on them of one plan share."""
+    return docs.repartition("doc", "sig")
 
 
 def covered(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """docs(doc, text) with the runs of each document as a list `cover` (null where it has none)."""
-    per_doc = windows.groupBy("doc").agg(F.collect_list(F.struct("pos", "width")).alias("cover"))
-    return by_doc(docs).join(per_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "cover")
+    """docs(doc, text, sig) with the runs of each document as a list `cover` (null where it has none), without sig."""
+    per_doc = windows.groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", "width")).alias("cover"))
+    return by_doc(docs).join(per_doc.hint("shuffle_hash"), ["doc", "sig"], "left").select("doc", "text", "cover")
 
 
 def cover_lists(column: pa.Array, offsets: np.ndarray, L: int, sizes: np.ndarray) -> np.ndarray:

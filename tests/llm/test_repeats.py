@@ -5,6 +5,7 @@ import random
 import re
 
 from quietfield.llm.op1_suffix_dedup import suffix_dedup
+from quietfield.llm.op4_line_dedup import line_dedup, without_repeated_lines
 from quietfield.llm.op7_substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,3 +121,22 @@ def test_empty_and_repeated_rows(spark):
     t = "abc def ghi " * 30
     got = suffix_dedup(frame(spark, [(1, t), (1, t), (2, t)])).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed < r.n_bytes) for r in got) == [(1, 360, True), (1, 360, True), (2, 360, False)]
+
+
+def test_rows_without_an_id_keep_their_own_marks(spark):
+    r = random.Random(8)
+    line = lambda: " ".join("u%d" % r.randrange(10**6) for _ in range(14))
+    text = lambda n: "\n".join(line() for _ in range(n))
+    a, b, c, shared = text(6), text(9), text(8), text(5)
+    rows = [(1, a), (None, a), (None, b), (1, c), (None, shared + "\n" + text(4)), (None, text(3) + "\n" + shared)]
+    for run, size in ((suffix_dedup, lambda t: len(t.encode())), (substring_dedup, lambda t: len(t.split())), (line_dedup, lambda t: t.count("\n") + 1)):
+        got = {(x.doc_id, x.kept if isinstance(x.kept, str) else bytes(x.kept).decode()): x.n_removed for x in run(frame(spark, rows), with_text=True).collect()}
+        kept = lambda t: " ".join(t.split()) if run is substring_dedup else t
+        assert len(got) == len(rows)
+        assert [got[k, kept(t)] for k, t in (rows[0], rows[2], rows[3])] == [0, 0, 0]  # repeats of nothing
+        assert got[None, ""] == size(a)
+        # of what the last two share one copy stays
+        assert sum(kept(shared) in k for _, k in got) == 1 and sum(v > 0 for v in got.values()) == 2
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    got = {(x.doc_id, x.text) for x in without_repeated_lines(docs).collect()}
+    assert len(got) == 5 and {rows[0], rows[2], rows[3]} <= got and (None, a) not in got
