@@ -1,4 +1,4 @@
-"""Substring deduplication: seed on winnowed anchors, extend, keep maximal repeats of words."""
+"""Substring deduplication: words in repeated windows, found at winnowed anchors and sorted as in op1."""
 
 from __future__ import annotations
 
@@ -53,9 +53,9 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     """Per document: words, words removed, maximal runs removed, hash of (and with_text, also) the words kept.
 
     The seeds are the winnowed anchors of repeats.stretches: word grams that every
-    window of `length` words must hold one of.  Documents are joined on them; stretches
-    are extended both ways from the seed, whole at once where they are equal and
-    window by window at the rims.  A word goes if a window that covers it also starts
+    window of `length` words must hold one of.  Documents meet on them; equal
+    stretches about a seed are settled whole, and at the rims the windows are sorted, so
+    no match is extended pair by pair.  A word goes if a window that covers it also starts
     in a document of smaller id.  Repeats inside one document do not count.  Null or
     blank texts have no words; a null id counts as the largest; rows that repeat an id
     and text count as one document and each get its result; documents that share an id,
