@@ -548,7 +548,7 @@ def injected_fields(spark, sf):
 
 @query
 def gbt_train_eval(spark, sf):
-    """Trees on the tabular signals, measured per split.  Few and small here; sizes are parameters."""
+    """Trees on the tabular signals, measured per split.  10 of depth 3 on 15 columns here, not 350 of depth 5 on 47."""
     names = [*C.METADATA_SCORE_FLAGS, "filename_leak_score", "caption_leak_score", "species_sensitivity", "lsb_variance_score", "trailing_byte_count_norm"]
     own = simulate.stratified_split(simulate.bundle(spark, sf)).select("doc_id", "split", "risk_label", *[F.col(c).cast("double").alias(c) for c in names])
     model = models.train(own.where("split = 'train'"), names, trees=10, depth=3)
