@@ -2,9 +2,14 @@
 
 Everything here works on the concatenated UTF-8 bytes of a batch of documents
 (the buffers of an Arrow string array), so no per-row Python loop runs in the hot
-path.  Hashes are polynomials modulo 2**64 over pseudo-random symbol values; the
-multiplier is odd and hence invertible, which makes the hash of any range two
-look-ups and one product.
+path.
+
+Two kinds of hash.  `word_hashes` hashes byte ranges (words, lines): every block of
+eight bytes is scrambled together with its place, so no structure of the text cancels
+out; two seeds give 128 bits.  `prefix_hash` is a rolling polynomial modulo 2**64.  It
+is used over short ranges only: it picks anchors among windows of at most 255 symbols.
+Over small symbol sets it can be made to collide in ranges of 1,024 symbols or more
+(Thue-Morse sequences), so nothing is decided by it over raw bytes.
 """
 
 from __future__ import annotations
@@ -34,6 +39,10 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACE_BYTES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: masks of the first n bytes of eight, read little-endian or big-endian
+KEEP_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+KEEP_HIGH = np.array([((1 << 8 * n) - 1) << (64 - 8 * n) for n in range(9)], dtype=U64)
+PLACE = mix(np.arange(101, 133, dtype=U64)) | U64(1)
 _powers: list[np.ndarray] = []
 
 
@@ -111,9 +120,40 @@ def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None = Non
     return begin, end, np.searchsorted(begin, offsets)
 
 
-def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each word, equal for equal bytes."""
-    return mix(range_hash(prefix_hash(SYMBOL[raw]), begin, end) + (end - begin).astype(U64))
+def unaligned(raw: np.ndarray, kind: str, front: int = 0) -> np.ndarray:
+    """The eight bytes from each position on as one number, `front` zero bytes before raw and eight behind."""
+    padded = np.zeros(front + len(raw) + 8, np.uint8)
+    padded[front : front + len(raw)] = raw
+    return np.ndarray((front + len(raw) + 1,), dtype=kind, buffer=padded, strides=(1,))
+
+
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit value for each byte range, equal for equal bytes."""
+    size = end - begin
+    blocks = np.maximum((size + 7) >> 3, 1)
+    if not len(blocks):
+        return np.zeros(0, U64)
+    eight = unaligned(raw, "<u8")
+    start = U64(seed) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15)
+    if int(blocks.sum()) == len(blocks):  # short words only
+        left = size.astype(U64)
+        value = eight[begin] & KEEP_LOW[np.minimum(size, 8)]
+        return mix(mix(value ^ start) + left * U64(0xA24BAED4963EE407) + start)
+    nth = spread(blocks)
+    at = nth * 8 + np.repeat(begin, blocks)
+    left = np.minimum(np.repeat(end, blocks) - at, 8)
+    salt = mix(np.arange(int(blocks.max()), dtype=U64) * U64(0x9FB21C651E98DF25) + start)
+    salt[0] = start
+    total = np.add.reduceat(mix((eight[at] & KEEP_LOW[left]) ^ salt[nth]), np.cumsum(blocks) - blocks)
+    return mix(total + size.astype(U64) * U64(0xA24BAED4963EE407) + start)
+
+
+def joined(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of values[at], ..., values[at + width - 1], themselves hashes: each times an odd number of its place, summed."""
+    out = np.full(len(at), width, dtype=U64)
+    for d in range(width):
+        out += values[at + d] * PLACE[d]
+    return mix(out)
 
 
 def spread(counts: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:

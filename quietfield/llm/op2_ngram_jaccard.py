@@ -63,12 +63,15 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None) -
     sizes = np.diff(first)
     if not len(b):
         return np.zeros(0, k.U64), np.zeros(len(sizes) + 1, np.int64)
-    prefix = k.prefix_hash(k.word_hashes(low, b, e))
+    word = k.word_hashes(low, b, e)
     counts = np.where(sizes > 0, np.maximum(sizes - SHINGLE + 1, 1), 0)
     begin = k.spread(counts, first[:-1])
     doc = np.repeat(np.arange(len(sizes)), counts)
-    end = np.minimum(begin + SHINGLE, first[doc + 1])
-    tok = k.mix(k.range_hash(prefix, begin, end) + (end - begin).astype(k.U64)) & TOKEN_MASK
+    tok = np.empty(len(begin), dtype=k.U64)
+    size = np.minimum(sizes, SHINGLE)[doc]
+    for width in range(1, SHINGLE + 1):  # documents of fewer words have one shingle of all of them
+        own = np.flatnonzero(size == width)
+        tok[own] = k.joined(word, begin[own], width) & TOKEN_MASK
     if hot is not None and len(hot):
         lut = np.zeros(1 << 20, dtype=bool)
         lut[hot & np.uint64(0xFFFFF)] = True

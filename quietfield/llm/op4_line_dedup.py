@@ -11,11 +11,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import NULL_ID, cover_lists, covered, keyed, line_bounds, repeated_windows, signature
+from .repeats import LIMITS, NULL_ID, Limits, cover_lists, covered, gather, keyed, line_bounds, line_symbols, pieces, settle, signature, tasks
+from .runtime import table
 
 LINES = 3
 
 
+def _windows(limits: Limits):
+    """A record per window of LINES lines: 128 bits of hash and its place.
+
+    Of the windows of a block that are equal only the first is dealt by its hash; the
+    others are known to come later, so copies of one window never meet in one task.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush():
+            h, s, doc, sig, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, _, later = settle([h, s], doc, sig, pos, True)
+            h, s, doc, sig, pos = (x[order] for x in (h, s, doc, sig, pos))
+            even = k.mix((doc ^ sig).astype(k.U64) + (pos.astype(k.U64) << k.U64(32)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (np.where(later, even, h).view(np.int64), s.view(np.int64), doc, sig, pos.astype(np.int32))), pa.array(later)], names=["h", "s", "doc", "sig", "pos", "later"])
+
+        for doc, sig, begin, _, _, h, s in pieces(line_symbols, LINES, LINES, limits, batches):
+            held.append((h, s, doc, sig, begin))
+            if sum(len(x[0]) for x in held) >= limits.block:
+                yield from flush()
+                held = []
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that start later than an equal one."""
+    t = gather(batches)
+    if t is None:
+        return
+    h, s, doc, sig, pos, known = (t[c].to_numpy() for c in ("h", "s", "doc", "sig", "pos", "later"))
+    rest = np.flatnonzero(~known)
+    order, _, later = settle([h[rest], s[rest]], doc[rest], sig[rest], pos[rest], True)
+    out = np.concatenate([np.flatnonzero(known), rest[order[later]]])
+    yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(sig[out]), pa.array(pos[out].astype(np.int64)), pa.array(np.ones(len(out), np.int32))], names=["doc", "sig", "pos", "width"])
+
+
+def repeated_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """Windows of docs(doc, text, sig) that also start earlier, as runs (doc, sig, pos, width) of lines with a word."""
+    rec = docs.select("doc", "text", "sig").mapInArrow(_windows(limits), "h long, s long, doc long, sig long, pos int, later boolean")
+    n = tasks(docs, 4 * limits.part_bytes)
+    return table(rec.repartition(n, "h").mapInArrow(_later, "doc long, sig long, pos long, width int"), "lines")
+
+
 def _cut(text: str, gone: np.ndarray) -> str:
     """text without the lines with a word that are marked; gone has a mark for each such line."""
     marks, out = iter(gone.tolist()), []
@@ -49,11 +96,11 @@ def _digest(with_text: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, limits: Limits = LIMITS) -> DataFrame:
     """Per document: lines with a word, lines removed, hash of (and with_text, also) the text kept.
 
     Lines are parts between \\n; only those with a word count, others stay.  A window
-    is three such lines in a row, compared byte by byte.  A window that also starts in
+    is three such lines in a row, compared by 128 bits of hash.  A window that also starts in
     a document of smaller id, or earlier in the same document, is a later occurrence:
     the lines it covers go, overlaps merged.  Documents that share an id, or have none,
     but not their text are in a fixed order, by a hash of it.  What is kept is joined by \\n.  A document
@@ -62,7 +109,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result; an empty table gives no rows; other columns are not looked at.
     """
     base = keyed(docs, id_col, text_col)
-    windows = repeated_windows(base, "lines", LINES, LINES, True)
+    windows = repeated_lines(base, limits)
     extra = ", kept string" if with_text else ""
     return covered(base, windows).mapInArrow(_digest(with_text), "doc_id long, n_lines long, n_removed long, kept_sha256 string" + extra)
 
@@ -75,9 +122,9 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     base = keyed(docs)
-    windows = repeated_windows(base, "lines", LINES, LINES, True)
+    windows = repeated_lines(base)
     carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"), signature().alias("sig"), *[F.col(c).alias(f"_c{n}") for n, c in enumerate(names) if c != "text"])
-    rows = covered_rows(carried, windows)
+    rows = covered(carried, windows, *[c for c in carried.columns if c.startswith("_c")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,13 +154,6 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     return out.select(*cols)
 
 
-def covered_rows(carried: DataFrame, windows: DataFrame) -> DataFrame:
-    """As repeats.covered, with the other columns of carried behind."""
-    per_doc = windows.groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", "width")).alias("cover"))
-    rest = [c for c in carried.columns if c not in ("doc", "text", "sig")]
-    return carried.join(per_doc.hint("shuffle_hash"), ["doc", "sig"], "left").select("doc", "text", "cover", *rest)
-
-
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -41,12 +41,6 @@ def _per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _within(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
-    """Document and hash in one word: the document in the high bits."""
-    bits = k.U64(max(1, int(n_docs).bit_length()))
-    return (doc.astype(k.U64) << (k.U64(64) - bits)) | (h >> bits)
-
-
 def text_counts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """COUNTS of each document of a chunk."""
     n_docs = len(offsets) - 1
@@ -56,15 +50,14 @@ def text_counts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     b, e, first = k.words(raw, offsets)
     n_words = np.diff(first)
     chars = _per_doc(np.where(k.IS_SPACE[raw], 0, points), offsets)
-    prefix = k.prefix_hash(k.SYMBOL[raw])
     # words in three-word windows that come twice or more
     repeat = np.zeros(n_docs, np.int64)
     counts = np.maximum(n_words - 2, 0)
     if counts.sum():
-        wh = k.mix(k.range_hash(prefix, b, e) + (e - b).astype(k.U64))
+        wh = k.word_hashes(raw, b, e)
         at = k.spread(counts, first[:-1])
         doc = np.repeat(np.arange(n_docs), counts)
-        v = _within(doc, k.mix(wh[at] + k.mix(wh[at + 1] + k.mix(wh[at + 2]))), n_docs)
+        v = k.mix(k.joined(wh, at, 3) ^ k.mix(doc.astype(k.U64)))
         s = np.sort(v)
         twice = np.unique(s[1:][s[1:] == s[:-1]])
         if len(twice):
@@ -82,9 +75,10 @@ def text_counts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     has = np.searchsorted(b, le) > np.searchsorted(b, lb)
     lb, le = lb[has], le[has]
     owner = np.searchsorted(offsets, lb, side="right") - 1
-    v = np.sort(_within(owner, k.mix(k.range_hash(prefix, lb, le) + (le - lb).astype(k.U64)), n_docs))
-    again = v[1:][v[1:] == v[:-1]] >> k.U64(64 - max(1, int(n_docs).bit_length()))
-    dup = np.bincount(again.astype(np.int64), minlength=n_docs)
+    v = k.mix(k.word_hashes(raw, lb, le) ^ k.mix(owner.astype(k.U64)))
+    order = np.argsort(v)
+    again = owner[order[1:][v[order[1:]] == v[order[:-1]]]]
+    dup = np.bincount(again, minlength=n_docs)
     lines = np.bincount(owner, minlength=n_docs)
     return [n_words, chars, _per_doc(SYMBOLS[raw], offsets), dup, repeat, lines, _per_doc(MARKS[raw], offsets), _per_doc(UPPER[raw], offsets)]
 

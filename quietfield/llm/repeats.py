@@ -1,35 +1,9 @@
-"""Repeated windows of a corpus by sparse suffix sorting.
-
-The question both substring operators ask: which windows of L symbols (bytes or
-words) also occur earlier?  Sorting every suffix of a corpus moves it many times
-over, so only *anchored* suffixes travel:
-
-1. Each window of L symbols picks the K-gram of least hash in it (the rightmost of
-   equals) as its anchor.  Equal windows pick the same anchor at the same offset.
-   The windows that share an anchor lie side by side; together they span a *stretch*
-   of the text.  One record per stretch is kept: anchor hash, hash of the stretch,
-   document, position - about 2/(L-K+2) records per symbol.
-2. Records meet by anchor hash.  Equal stretches are settled there: all but the
-   earliest repeat it in full.  Each task first settles its own stretches and
-   sends only one of each on, so copies of one text never meet in one task.
-   Anchors that occur once are dropped.
-3. What is left are different stretches about the same anchor: the rims of copies.
-   Their symbols are fetched, and they are range-partitioned by the leading symbols
-   of the anchored suffix (splitters sampled by Spark's range partitioner).  In each
-   range the windows are sorted by multikey quicksort and neighbours compared; the
-   first of each group of equal windows stays.  Windows that are equal share their
-   leading symbols, so a splitter never separates them and the comparison across a
-   range boundary is between windows known to differ.
-
-An anchor with many different stretches about it (a phrase in a third of all
-documents, each time in other company) must not meet in one task.  A bounded sample
-of documents names such hot anchors: their records are dealt by stretch instead of
-anchor, and their windows go singly to step 3, dealt by their own symbols, each only
-if no earlier equal one has left the same task.  Anchors that the sample misses but
-that have more than HOT stretches are treated so from step 3 on.
-
-The symbols are compared in step 3; in step 2 stretches count as equal when two
-64-bit hashes agree.
+"""Anchors of a corpus: what the operators on repeated passages share.
+
+Each window of L symbols (bytes, words or lines) picks the K-gram of least hash in it (the
+rightmost of equals) as its anchor, so equal windows pick the same anchor at the same
+offset.  The windows that share an anchor lie side by side and together span a *stretch* of
+the text: one record per stretch is kept, about 2/(L-K+2) of them per symbol.
 
 A document is (doc, sig): its id, and a hash of its text that tells rows without an id, or
 of one id, apart.  Documents are in order of doc, then sig, so that of a window that such
@@ -39,6 +13,7 @@ rows share one stays, and marks go only to the text they were found in.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,29 +21,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .runtime import table
-
-PIECE = 1 << 20  # window starts handled at once
-HOT = 2048  # different stretches about one anchor before its windows are dealt singly
-SAMPLE_DOCS = 4096  # documents looked at for hot anchors
-SAMPLE_HOT = 8  # different stretches in the sample that make an anchor hot
-MAX_HOT = 4096  # hot anchors sent to the tasks
-SEEN = 1 << 20  # windows of hot anchors that a task remembers
-BLOCK = 1 << 20  # records settled at once in a task
+
 NULL_ID = (1 << 63) - 1
 
-RECORD = "k long, h long, s long, doc long, sig long, pos long, meta int"
-FOUND = "doc long, sig long, pos long, width int, kind int, h long, off int"
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds on what a task holds.  They change the work, never the results."""
+
+    piece: int = 1 << 20  # window starts of a long text handled at once
+    block: int = 1 << 20  # records settled at once before they leave a task
+    hot: int = 2048  # different contexts about one anchor before its windows are dealt singly
+    sample_docs: int = 4096  # documents looked at for hot anchors
+    sample_hot: int = 8  # different contexts in the sample that make an anchor hot
+    max_hot: int = 4096  # hot anchors sent to the tasks
+    part_bytes: int = 64 << 20  # text bytes whose records one task gathers, on average
 
 
-def _view(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+LIMITS = Limits()
 
 
-def stretches(symbols: np.ndarray, cuts: np.ndarray, L: int, K: int) -> tuple[np.ndarray, ...]:
+def stretches(symbols: np.ndarray, check: np.ndarray | None, cuts: np.ndarray, L: int, K: int) -> tuple[np.ndarray, ...]:
     """Stretches of concatenated sequences; cuts has the n+1 bounds.
 
     Returns (sequence, begin, width, offset of the anchor, anchor hash, stretch hash).
+    The stretch hash comes from `check`, symbols hashed with another seed, so that both
+    together are 128 bits; it is None without them.
     """
     n = len(symbols)
     counts = np.maximum(np.diff(cuts) - L + 1, 0)
@@ -89,18 +67,20 @@ def stretches(symbols: np.ndarray, cuts: np.ndarray, L: int, K: int) -> tuple[np
     width = np.diff(np.append(b, len(p)))
     begin, anchor, seq = p[b], at[b], seq[b]
     off = anchor - begin
-    body = k.range_hash(prefix, begin, begin + width + L - 1)
-    s = k.mix(body ^ k.mix((off * 65536 + width).astype(k.U64)))
+    s = None
+    if check is not None:
+        body = k.range_hash(k.prefix_hash(check), begin, begin + width + L - 1)
+        s = k.mix(body ^ k.mix((off * 65536 + width).astype(k.U64)))
     return seq, begin, width, off, grams[anchor], s
 
 
-def byte_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return k.SYMBOL[raw], offsets
+def byte_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, None, np.ndarray]:
+    return k.SYMBOL[raw], None, offsets
 
 
-def word_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b, e, first = k.words(raw, offsets)
-    return (k.word_hashes(raw, b, e) if len(b) else np.zeros(0, k.U64)), first
+    return k.word_hashes(raw, b, e), k.word_hashes(raw, b, e, 1), first
 
 
 def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,273 +92,57 @@ def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return b, e, np.searchsorted(b, offsets)
 
 
-def line_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def line_symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b, e, first = line_bounds(raw, offsets)
-    return (k.word_hashes(raw, b, e) if len(b) else np.zeros(0, k.U64)), first
-
-
-SYMBOLS = {"bytes": (byte_symbols, 1), "words": (word_symbols, 8), "lines": (line_symbols, 8)}
-
+    return k.word_hashes(raw, b, e), k.word_hashes(raw, b, e, 1), first
 
-def _settle(h, s, doc, sig, pos, same_doc: bool):
-    """Order by (h, s, doc, sig, pos), where each group (h, s) begins, and which rows repeat an earlier one."""
-    order = np.lexsort((pos, sig, doc, s, h))
-    h, s, doc, sig, pos = h[order], s[order], doc[order], sig[order], pos[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (doc > doc[lead]) | (sig != sig[lead])
-    if same_doc:
-        later |= pos > pos[lead]
-    return order, new, later
 
+def pieces(symbols: Callable, L: int, K: int, limits: Limits, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc, sig, begin, width, offset, anchor hash, stretch hash) of the stretches, some documents at a time.
 
-def _pieces(symbols: Callable, L: int, K: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(doc, sig, begin, width, offset, anchor hash, stretch hash) of the stretches, some documents at a time."""
+    A long text is cut into pieces of limits.piece window starts.
+    """
     for batch in batches:
         ids, sigs = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
         raw, offsets = k.text_buffers(batch.column(1))
         for i, j in k.doc_chunks(offsets):
-            sym, cuts = symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            longest = j - i == 1 and len(sym) > PIECE + L - 1
-            for base in range(0, len(sym) - L + 1, PIECE) if longest else (0,):
-                part = sym[base : base + PIECE + L - 1] if longest else sym
-                seq, begin, width, off, h, s = stretches(part, np.array([0, len(part)]) if longest else cuts, L, K)
+            sym, check, cuts = symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            longest = j - i == 1 and len(sym) > limits.piece + L - 1
+            for base in range(0, len(sym) - L + 1, limits.piece) if longest else (0,):
+                own = slice(base, base + limits.piece + L - 1) if longest else slice(None)
+                part = sym[own]
+                seq, begin, width, off, h, s = stretches(part, None if check is None else check[own], np.array([0, len(part)]) if longest else cuts, L, K)
                 if len(seq):
                     yield ids[i:j][seq], sigs[i:j][seq], begin - (0 if longest else cuts[seq]) + base, width, off, h, s
 
 
-def hot_anchors(docs: DataFrame, by: str, L: int, K: int) -> np.ndarray:
-    """Anchors with SAMPLE_HOT different stretches in about SAMPLE_DOCS documents, MAX_HOT at most."""
-    symbols = SYMBOLS[by][0]
-    some = docs.where(F.pmod(F.xxhash64("doc", "sig"), F.lit(max(1, docs.count() // SAMPLE_DOCS))) == 0)
-
-    def run(batches):
-        for *_, h, s in _pieces(symbols, L, K, batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_view(h)), pa.array(_view(s))], names=["h", "s"])
-
-    many = some.select("doc", "text", "sig").mapInArrow(run, "h long, s long").distinct().groupBy("h").count().where(F.col("count") >= SAMPLE_HOT)
-    rows = many.orderBy(F.desc("count"), "h").limit(MAX_HOT).select("h").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(k.U64))
+def tasks(docs: DataFrame, per_task: int) -> int:
+    """Partitions for what is made of the texts: as configured, or more so that each is from about per_task bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per_task))
 
 
-def _is_in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
-    if not len(some):
-        return np.zeros(len(values), dtype=bool)
-    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
-
-
-def _records(symbols: Callable, L: int, K: int, same_doc: bool, hot: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush():
-            h, s, doc, sig, pos, meta = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, new, later = _settle(h, s, doc, sig, pos, same_doc)
-            h, s, doc, sig, pos, meta = h[order], s[order], doc[order], sig[order], pos[order], meta[order]
-            # what is known to repeat is dealt by its document; one of each stretch by its anchor
-            own = _is_in(h, hot)
-            route = np.where(later, k.mix((doc ^ sig).astype(k.U64) + (pos.astype(k.U64) << k.U64(32))), np.where(own, k.mix(h ^ k.mix(s)), h))
-            flag = meta | (later.astype(np.int32) << 24) | (own.astype(np.int32) << 25)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_view(route), _view(h), _view(s), doc, sig, pos, flag)], names=["k", "h", "s", "doc", "sig", "pos", "meta"])
-
-        for doc, sig, begin, width, off, h, s in _pieces(symbols, L, K, batches):
-            held.append((h, s, doc, sig, begin, (width * 256 + off).astype(np.int32)))
-            size += len(h)
-            if size >= BLOCK:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    return run
+def settle(keys: list[np.ndarray], doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by keys, then document and place; where each group of equal keys begins; which rows start later than the first of theirs."""
+    order = np.lexsort((pos, sig, doc, *keys[::-1]))
+    doc, sig, pos = doc[order], sig[order], pos[order]
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
+    later = (doc > doc[lead]) | (sig != sig[lead])
+    if same_doc:
+        later |= pos > pos[lead]
+    return order, new, later
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+def gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All rows of a partition, whose size the caller has bounded."""
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got) if got else None
 
 
-def _meet(same_doc: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _gather(batches)
-        if t is None:
-            return
-        h, s = (t[c].to_numpy().view(k.U64) for c in ("h", "s"))
-        doc, sig, pos, meta = (t[c].to_numpy() for c in ("doc", "sig", "pos", "meta"))
-        del t
-        done = meta >> 24 & 1 == 1
-        out = [(doc[done], sig[done], pos[done], meta[done], np.zeros(done.sum(), np.int32), h[done])]
-        keep = ~done
-        h, s, doc, sig, pos, meta = h[keep], s[keep], doc[keep], sig[keep], pos[keep], meta[keep]
-        order, new, later = _settle(h, s, doc, sig, pos, same_doc)
-        h, doc, sig, pos, meta = h[order], doc[order], sig[order], pos[order], meta[order]
-        out.append((doc[later], sig[later], pos[later], meta[later], np.zeros(later.sum(), np.int32), h[later]))
-        # one of each stretch goes on if its anchor has others
-        head = new
-        group = np.ones(len(h), dtype=bool)
-        group[1:] = h[1:] != h[:-1]
-        which = np.cumsum(group) - 1
-        kinds = np.bincount(which[head], minlength=which[-1] + 1 if len(which) else 0)[which] if len(which) else np.zeros(0, np.int64)
-        # of a stretch that counts as first in several places of one document, each place goes on
-        own = meta >> 25 == 1
-        rim = ~later & ((kinds > 1) | own)
-        out.append((doc[rim], sig[rim], pos[rim], meta[rim], np.where((kinds[rim] > HOT) | own[rim], 2, 1).astype(np.int32), h[rim]))
-        doc, sig, pos, meta, kind, h = (np.concatenate(x) for x in zip(*out, strict=True))
-        meta = meta & 0xFFFFFF
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, sig, pos, (meta >> 8).astype(np.int32), kind, _view(h), (meta & 255).astype(np.int32))], names=["doc", "sig", "pos", "width", "kind", "h", "off"])
-
-    return run
-
-
-def _repeats_seen(seen: dict, h: np.ndarray, doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, same_doc: bool) -> np.ndarray:
-    """Which of the windows with hashes h start later than an equal one here or in seen, which is brought up to date."""
-    order = np.lexsort((pos, sig, doc, h))
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    heads = order[new]
-    low_doc, low_sig, low_pos = doc[heads].copy(), sig[heads].copy(), pos[heads].copy()
-    for n, (key, d, g, p) in enumerate(zip(h[heads].tolist(), low_doc.tolist(), low_sig.tolist(), low_pos.tolist(), strict=True)):
-        was = seen.get(key)
-        if was is not None and was < (d, g, p):
-            low_doc[n], low_sig[n], low_pos[n] = was
-        elif was is not None or len(seen) < SEEN:
-            seen[key] = (d, g, p)
-    group = np.empty(len(h), np.int64)
-    group[order] = np.cumsum(new) - 1
-    out = (doc > low_doc[group]) | (sig != low_sig[group])
-    return out | (pos > low_pos[group]) if same_doc else out
-
-
-def _fetch(symbols: Callable, L: int, unit: int, same_doc: bool):
-    """Rows (doc, text, rims, sig) to one row per stretch, or per window of a hot anchor, with its symbols.
-
-    A window of a hot anchor that repeats an earlier one of the same task goes on without symbols: it is settled.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
-        for batch in batches:
-            raw, offsets = k.text_buffers(batch.column(1))
-            rims = batch.column(2)
-            ends = rims.offsets.to_numpy()
-            flat = rims.flatten()
-            pos, meta = flat.field("pos").to_numpy(), flat.field("meta").to_numpy()
-            ends = ends - ends[0]
-            ids, sigs = (batch.column(c).to_numpy() for c in (0, 3))
-            for i, j in k.doc_chunks(offsets):
-                part = raw[offsets[i] : offsets[j]]
-                if unit == 1:
-                    data, cuts = part, offsets[i : j + 1] - offsets[i]
-                else:
-                    sym, cuts = symbols(part, offsets[i : j + 1] - offsets[i])
-                    data = sym.astype(">u8").view(np.uint8)
-                sl = slice(ends[i], ends[j])
-                seq = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
-                p, m = pos[sl], meta[sl]
-                width, off, hot = m >> 9, m >> 1 & 255, m & 1 == 1
-                times = np.where(hot, width, 1)
-                row = np.repeat(np.arange(len(p)), times)
-                step = k.spread(times)
-                at, wide = p[row] + step, np.where(hot[row], 1, width[row])
-                lead_at = np.where(hot[row], 0, off[row])
-                begin = cuts[seq[row]] + at
-                end = np.minimum(begin + wide + L - 1, cuts[seq[row] + 1])
-                good = end - begin >= L
-                begin, end, at, wide, lead_at, row = (x[good] for x in (begin, end, at, wide, lead_at, row))
-                lens = (end - begin) * unit
-                single = np.flatnonzero(hot[row])
-                if len(single):
-                    values = k.SYMBOL[part] if unit == 1 else sym
-                    again = _repeats_seen(seen, k.range_hash(k.prefix_hash(values), begin[single], end[single]), ids[i:j][seq[row[single]]], sigs[i:j][seq[row[single]]], at[single], same_doc)
-                    lens[single[again]] = 0
-                idx = k.spread(lens, begin * unit)
-                body = data[idx]
-                off32 = np.zeros(len(lens) + 1, np.int32)
-                off32[1:] = np.cumsum(lens)
-                nlead = 16 if unit == 1 else 24
-                settled = lens == 0
-                lead = data[(((begin + lead_at) * unit)[:, None] + np.arange(nlead)).ravel()]
-                if settled.any():  # nothing to meet: dealt evenly
-                    lead = lead.reshape(-1, nlead)
-                    spot = k.mix(((ids ^ sigs)[i:j][seq[row[settled]]] * 65599 + at[settled]).astype(k.U64)).view(np.uint8).reshape(-1, 8)
-                    lead[settled] = np.tile(spot, (1, nlead // 8))
-                    lead = lead.ravel()
-                leads = np.arange(len(lens) + 1, dtype=np.int32) * nlead
-                mk = lambda o, d: pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o), pa.py_buffer(np.ascontiguousarray(d))])
-                yield pa.RecordBatch.from_arrays([mk(leads, lead), pa.array(ids[i:j][seq[row]]), pa.array(sigs[i:j][seq[row]]), pa.array(at), pa.array(wide.astype(np.int32)), mk(off32, body)], names=["lead", "doc", "sig", "pos", "width", "body"])
-
-    return run
-
-
-def _sort(L: int, unit: int, same_doc: bool):
-    """One range: sort its windows by multikey quicksort, keep the first of equals, report the rest."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _gather(batches)
-        if t is None:
-            return
-        t = t.combine_chunks()
-        order = np.lexsort((t["pos"].to_numpy(), t["sig"].to_numpy(), t["doc"].to_numpy()))
-        data, offsets = k.text_buffers(t["body"])
-        settled = np.diff(offsets)[order] == 0
-        done, order = order[settled], order[~settled]
-        yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[done]) for c in ("doc", "sig", "pos", "width")], names=["doc", "sig", "pos", "width"])
-        doc, sig, pos, width = (t[c].to_numpy()[order] for c in ("doc", "sig", "pos", "width"))
-        del t
-        if not len(order):
-            return
-        starts = offsets[:-1][order]
-        if unit == 1:
-            padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(k.U64)
-            w = padded
-            for d in (1, 2, 4):
-                w = (w[:-d] << k.U64(8 * d)) | w[d:]
-            steps = [*range(0, L - 7, 8)] + ([L - 8] if L % 8 else [])
-        else:
-            w = data.view(">u8").astype(k.U64)
-            starts = starts // 8
-            steps = list(range(L))
-        at = k.spread(width, starts)
-        item = np.repeat(np.arange(len(doc)), width)
-        p = k.spread(width, pos)
-        by, first = k.multikey_order(len(at), lambda d, i: w[at[i] + steps[d]], len(steps))
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        d, g, q = doc[item[by]], sig[item[by]], p[by]
-        later = (d > d[lead]) | (g != g[lead])
-        if same_doc:
-            later |= q > q[lead]
-        again = np.zeros(len(at), dtype=bool)
-        again[by] = later
-        b, e = k.runs(again, np.concatenate([[0], np.cumsum(width)]))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[item[b]]), pa.array(sig[item[b]]), pa.array(p[b]), pa.array((e - b).astype(np.int32))], names=["doc", "sig", "pos", "width"])
-
-    return run
-
-
-def repeated_windows(docs: DataFrame, by: str, L: int, K: int, same_doc: bool) -> DataFrame:
-    """Windows of docs(doc, text, sig) that occur earlier, as runs (doc, sig, pos, width): starts pos .. pos+width-1.
-
-    by: 'bytes', 'words' or 'lines' (those with a word).  With K = L every window is its
-    own anchor and no rims are left.  Earlier is a smaller (doc, sig), or with same_doc also an
-    earlier start in the same document.  K must be at most 255 below L.
-    """
-    assert 0 < K <= L and L - K < 255
-    symbols, unit = SYMBOLS[by]
-    # records are made where the texts are read; texts move only to meet their rims
-    hot = hot_anchors(docs, by, L, K) if K < L else np.zeros(0, k.U64)
-    rec = docs.select("doc", "text", "sig").mapInArrow(_records(symbols, L, K, same_doc, hot), RECORD)
-    met = table(rec.repartition("k").mapInArrow(_meet(same_doc), FOUND), "stretches")
-    found = met.where("kind = 0").select("doc", "sig", "pos", "width")
-    if K == L:
-        return found
-    rim = met.where("kind > 0").groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", ((F.col("width") * 256 + F.col("off")) * 2 + (F.col("kind") == 2).cast("int")).alias("meta"))).alias("rims"))
-    body = by_doc(docs).join(rim.hint("shuffle_hash"), ["doc", "sig"]).select("doc", "text", "rims", "sig")
-    # in a fixed order: what a task sends must be the same when it runs again
-    body = body.sortWithinPartitions("doc", "sig").mapInArrow(_fetch(symbols, L, unit, same_doc), "lead binary, doc long, sig long, pos long, width int, body binary")
-    sorted_out = body.repartitionByRange("lead").mapInArrow(_sort(L, unit, same_doc), "doc long, sig long, pos long, width int")
-    return found.union(sorted_out)
-
-
 def signature(text_col: str = "text") -> Column:
     """A hash of the text; a null text is empty."""
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -394,10 +158,11 @@ def by_doc(docs: DataFrame) -> DataFrame:
     return docs.repartition("doc", "sig")
 
 
-def covered(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """docs(doc, text, sig) with the runs of each document as a list `cover` (null where it has none), without sig."""
+def covered(docs: DataFrame, windows: DataFrame, *carried: str) -> DataFrame:
+    """docs(doc, text, sig) with the runs of each document as a list `cover` (null where it has none), then the carried columns."""
     per_doc = windows.groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", "width")).alias("cover"))
-    return by_doc(docs).join(per_doc.hint("shuffle_hash"), ["doc", "sig"], "left").select("doc", "text", "cover")
+    rows = docs if carried else by_doc(docs)
+    return rows.join(per_doc.hint("shuffle_hash"), ["doc", "sig"], "left").select("doc", "text", "cover", *carried)
 
 
 def cover_lists(column: pa.Array, offsets: np.ndarray, L: int, sizes: np.ndarray) -> np.ndarray:
@@ -407,7 +172,7 @@ def cover_lists(column: pa.Array, offsets: np.ndarray, L: int, sizes: np.ndarray
     ends = column.offsets.to_numpy()
     flat = column.flatten()
     if len(flat):
-        pos, width = flat.field("pos").to_numpy(), flat.field("width").to_numpy().astype(np.int64)
+        pos, width = flat.field("pos").to_numpy().astype(np.int64), flat.field("width").to_numpy().astype(np.int64)
         counts = np.where(np.asarray(column.is_valid()), np.diff(ends), 0)
         seq = np.repeat(np.arange(len(counts)), counts)
         b = np.minimum(pos, sizes[seq])

@@ -1,12 +1,19 @@
-"""Operators 1 and 7 against brute force on small corpora made to repeat."""
+"""Operators 1, 4 and 7 against brute force on small corpora made to repeat."""
 
 import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
+from quietfield.llm import kernels as k
+from quietfield.llm import op1_suffix_dedup as op1
+from quietfield.llm import op7_substring_dedup as op7
 from quietfield.llm.op1_suffix_dedup import suffix_dedup
 from quietfield.llm.op4_line_dedup import line_dedup, without_repeated_lines
 from quietfield.llm.op7_substring_dedup import substring_dedup
+from quietfield.llm.repeats import Limits, keyed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,6 +40,16 @@ def corpus(seed, n=60):
     return out + [(n, None), (n + 1, ""), (n + 2, " \n\t"), (None, base[0])]
 
 
+def company(seed, n=80):
+    """One phrase in many documents, each time between other words, sometimes between shared ones."""
+    r = random.Random(seed)
+    phrase = "this phrase of more than sixty bytes stands in a third of all of them, always"
+    side = [" ".join("s%d" % r.randrange(99) for _ in range(9)) for _ in range(6)]
+    fresh = lambda: " ".join("f%d" % r.randrange(10**6) for _ in range(12))
+    pick = lambda: r.choice(side) if r.random() < 0.4 else fresh()
+    return [(i, pick() + " " + phrase + " " + pick()) for i in range(n)]
+
+
 def brute_bytes(rows, L):
     seen, out = set(), []
     for key, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
@@ -75,49 +92,77 @@ def key(r):
     return (r[0] is None, r[0] or 0)
 
 
-def test_bytes_match_brute_force(spark):
-    for seed, L in ((1, 100), (2, 40)):
-        rows = corpus(seed)
-        got = suffix_dedup(frame(spark, rows), L).collect()
-        assert sorted(map(tuple, got), key=key) == sorted(brute_bytes(rows, L), key=key)
+def same_bytes(spark, rows, L, **how):
+    got = suffix_dedup(frame(spark, rows), L, **how).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_bytes(rows, L), key=key)
+
+
+def same_words(spark, rows, L, **how):
+    got = substring_dedup(frame(spark, rows), L, **how).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute_words(rows, L), key=key)
+
+
+@pytest.mark.parametrize(("seed", "L"), [(1, 100), (2, 40)])
+def test_bytes_match_brute_force(spark, seed, L):
+    same_bytes(spark, corpus(seed), L)
+
+
+@pytest.mark.parametrize(("seed", "L"), [(3, 13), (4, 6)])
+def test_words_match_brute_force(spark, seed, L):
+    same_words(spark, corpus(seed), L)
+
+
+def test_bytes_in_many_buckets(spark):
+    """Buckets of a few suffixes: splitters fall into most anchors, so windows are compared across boundaries."""
+    same_bytes(spark, corpus(5), 50, bucket_bytes=2000, limits=Limits(piece=64, block=16))
+    same_bytes(spark, company(6), 100, bucket_bytes=1000)
+    base = keyed(frame(spark, company(6)))
+    found = op1.repeated_windows(base, 100, bucket_bytes=1000)
+    assert found.count() > 0
 
 
-def test_words_match_brute_force(spark):
-    for seed, L in ((3, 13), (4, 6)):
-        rows = corpus(seed)
-        got = substring_dedup(frame(spark, rows), L).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-        assert sorted(map(tuple, got), key=key) == sorted(brute_words(rows, L), key=key)
+def test_words_with_lengthened_seeds(spark):
+    rows = company(7) + [(a + 100, b) for a, b in corpus(6) if a is not None]
+    few = Limits(sample_hot=2, piece=16, block=16)
+    assert len(op7.common_seeds(keyed(frame(spark, rows)), 7, 5, few)) > 0
+    same_words(spark, rows, 7, limits=few)
+    same_words(spark, rows, 13, limits=Limits(hot=1))
 
 
-def test_hot_anchor_and_pieces(spark, monkeypatch):
-    import quietfield.llm.repeats as repeats
+def test_very_long_text(spark):
+    """Two million characters in one document, longer than a piece and a block of records, with a copy of a part of it."""
+    r = random.Random(11)
+    long = " ".join("u%d" % r.randrange(10**9) for _ in range(200_000))
+    part = long[1_500_000:1_501_000]
+    rows = [(1, long), (2, "x " + part + " y"), (3, "ab " * 100_000)]
+    got = {x.doc_id: x.n_removed for x in suffix_dedup(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1000, 3: 300_000 - 3}
+    got = {x.doc_id: x.n_removed for x in substring_dedup(frame(spark, rows)).collect()}
+    whole = len(part.split()) - (not part.startswith(" ") and long[1_499_999] != " ") - (not part.endswith(" ") and long[1_501_000] != " ")
+    assert got == {1: 0, 2: whole, 3: 0}
 
-    monkeypatch.setattr(repeats, "HOT", 1)
-    monkeypatch.setattr(repeats, "PIECE", 64)
-    monkeypatch.setattr(repeats, "BLOCK", 16)
-    rows = corpus(5)
-    # the functions are shipped by reference, so run them here as Spark would
-    got = suffix_dedup(frame(spark, rows), 50).collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute_bytes(rows, 50), key=key)
 
+def thue_morse(n, one, other):
+    return [one if bin(i).count("1") % 2 else other for i in range(n)]
 
-def test_hot_anchors_by_sample(spark, monkeypatch):
-    import quietfield.llm.repeats as repeats
 
-    monkeypatch.setattr(repeats, "SAMPLE_HOT", 2)
-    rows = corpus(6)
-    df = frame(spark, rows)
-    assert len(repeats.hot_anchors(repeats.keyed(df), "bytes", 50, 32)) > 0
-    got = suffix_dedup(df, 50).collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute_bytes(rows, 50), key=key)
-    monkeypatch.setattr(repeats, "SEEN", 3)
-    got = substring_dedup(df, 7).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute_words(rows, 7), key=key)
+def test_alternating_sequences_are_told_apart(spark):
+    """A polynomial modulo 2**64 takes these for equal, whatever its multiplier."""
+    a, b = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    assert len(set(k.word_hashes(raw, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+    rows = [(1, a + "\nline two\nline three"), (2, b + "\nline two\nline three")]
+    assert {x.n_removed for x in line_dedup(frame(spark, rows)).collect()} == {0}
+    words = [(i, " ".join(thue_morse(1100, *pair))) for i, pair in ((1, ("a", "b")), (2, ("b", "a")))]
+    for L in (13, 30):
+        same_words(spark, words, L)
+    same_bytes(spark, [(1, a), (2, b), (3, a[:300] + b)], 100)
 
 
 def test_empty_and_repeated_rows(spark):
     assert suffix_dedup(frame(spark, [])).count() == 0
     assert substring_dedup(frame(spark, [])).count() == 0
+    assert line_dedup(frame(spark, [])).count() == 0
     t = "abc def ghi " * 30
     got = suffix_dedup(frame(spark, [(1, t), (1, t), (2, t)])).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed < r.n_bytes) for r in got) == [(1, 360, True), (1, 360, True), (2, 360, False)]
