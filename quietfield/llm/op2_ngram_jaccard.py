@@ -6,19 +6,22 @@ with shingles that a bounded sample shows to be frequent put last.
 
 1. One pass over the texts leaves, per document, the set size, a 128-bit set
    signature, a bitmap signature (parity of hashed positions) and the prefix.
-   Equal sets within a task go on once; equal sets overall are one class.
+   Equal sets are one class; one document of each, its head, goes on.
 2. Prefix shingles meet; a shingle of one document only is dropped, the others give
    (smallest document, document).  All documents next to one such *pivot* form a
    group: any two documents that share a prefix shingle share its pivot's group.  A
    pair belongs to the smallest pivot that both have; their other groups skip it.
-3. Groups are cut into tiles by size band (a band and the one below it) and, when
-   large, into square tiles by hash.  In a tile the bit counts of two bitmaps bound
+3. In a large group every member is first compared exactly with the group's leader (of
+   the most frequent size band).  Members that link with it are settled: pairs of them
+   are known to be connected.  A family of near copies is thus done in linear work.
+4. Groups are cut into tiles by size band (a band and the one below it) and, when
+   large, into tiles of unsettled members by all members.  In a tile the bit counts of two bitmaps bound
    the symmetric difference from below, so the overlap from above; documents
    without any possible partner leave.
-4. The sets of what is left are fetched and intersected exactly, skipping pairs that
+5. The sets of what is left are fetched and intersected exactly, skipping pairs that
    are already connected.  Each merger of two parts gives one edge, so a group of n
    documents gives at most n-1, whatever its number of links.
-5. Connected components over the edges, each named by its smallest document.
+6. Connected components over the edges, each named by its smallest document.
 
 Inside, a document is a node: a 64-bit hash of id and text.  Rows share one only if both
 are equal, so rows without an id, or of one id with other texts, stay apart.
@@ -36,10 +39,11 @@ from pyspark.sql import functions as F
 
 from . import kernels as k
 from .repeats import NULL_ID
-from .runtime import components, table
+from .runtime import components, lookup, table
 
 SHINGLE = 5
 TILE = 4096
+LEAD = 256  # members of a group from which on they are first compared with its leader
 BAND = 1.34  # a little over 4/3: documents that link are at most one band apart
 SAMPLE_DOCS = 8192  # documents looked at for frequent shingles
 FREQUENT = 3  # of those, to count as frequent
@@ -210,10 +214,21 @@ def _by_key(batches: Iterator[pa.RecordBatch]):
     yield t, order, b, np.append(b[1:], len(order))
 
 
-def _allowed(a, b, n, side, below, i, j):
-    """Whether documents a (one) and b (many) of a tile are to be compared in it."""
-    ok = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & ~(below[a] & below[b])
-    return ok & (side[a] != side[b]) if i != j else ok
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
+def _allowed(a, b, n, doc, side, below, settled):
+    """Whether documents a (one) and b (many) of a tile are to be compared in it.
+
+    A group of one tile has each document once (BOTH).  In others an unsettled document
+    stands LEFT, any RIGHT; a pair of unsettled ones counts where the smaller is LEFT.
+    """
+    ok = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & ~(below[a] & below[b]) & ~(settled[a] & settled[b])
+    if side[a] == BOTH:
+        return ok
+    first = doc[a] < doc[b] if side[a] == LEFT else doc[b] < doc[a]
+    other = settled[b] if side[a] == LEFT else settled[a]
+    return ok & (side[a] != side[b]) & (doc[a] != doc[b]) & (first | other)
 
 
 def _owned(a, b, p, flat, off):
@@ -249,8 +264,7 @@ def _fold(rows: list[bytes]) -> np.ndarray:
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, order, starts, ends in _by_key(batches):
-        n_all, side_all, below_all = (t[c].to_numpy(zero_copy_only=False)[order] for c in ("n", "side", "below"))
-        i_all, j_all = (t[c].to_numpy()[order] for c in ("i", "j"))
+        cols = [t[c].to_numpy(zero_copy_only=False)[order] for c in ("n", "doc", "side", "below", "settled")]
         bits = t["bits"].chunk(0)
         flat, cuts = _pivot_lists(t, order)
         p_all = t["p"].to_numpy()[order]
@@ -258,11 +272,12 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             if e - s < 2:
                 continue
-            n, side, below, i, j = n_all[s:e], side_all[s:e], below_all[s:e], i_all[s], j_all[s]
+            own = [x[s:e] for x in cols]
+            n = own[0]
             sig = _fold([bits[int(x)].as_py() for x in order[s:e]])
             for a in range(e - s - 1):
                 b = np.arange(a + 1, e - s)
-                b = b[_allowed(a, b, n, side, below, i, j)]
+                b = b[_allowed(a, b, *own)]
                 if stay[s + a]:  # it stays: only partners that are not yet known to stay matter
                     b = b[~stay[s + b]]
                 if len(b):
@@ -272,7 +287,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         stay[s + a] = True
                         stay[b] = True
         if stay.any():
-            yield from t.select(["p", "g", "i", "j", "side", "below", "doc", "head"]).take(pa.array(order[stay])).to_batches()
+            yield from t.select(["p", "g", "i", "j", "side", "below", "settled", "doc", "head"]).take(pa.array(order[stay])).to_batches()
 
 
 def _sets(hot: np.ndarray):
@@ -288,7 +303,7 @@ def _sets(hot: np.ndarray):
                 part = flat.slice(ends[i] - ends[0], int(times.sum()))
                 lens = np.diff(bounds)[row]
                 body = tok[k.spread(lens, bounds[:-1][row])]
-                names = ["p", "g", "i", "j", "side", "below", "head"]
+                names = ["p", "g", "i", "j", "side", "below", "settled", "head"]
                 yield pa.RecordBatch.from_arrays([*(part.field(c) for c in names), pa.array(ids[i:j][row]), _binary(body, np.cumsum(lens) * 8)], names=[*names, "doc", "body"])
 
     return run
@@ -296,8 +311,7 @@ def _sets(hot: np.ndarray):
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t, order, starts, ends in _by_key(batches):
-        doc_all, side_all, below_all = (t[c].to_numpy(zero_copy_only=False)[order] for c in ("doc", "side", "below"))
-        i_all, j_all = (t[c].to_numpy()[order] for c in ("i", "j"))
+        cols = [t[c].to_numpy(zero_copy_only=False)[order] for c in ("doc", "side", "below", "settled")]
         raw, off = k.text_buffers(t["body"])
         toks, off = raw.view(k.U64), off // 8
         flat, heads = _pivot_lists(t, order)
@@ -312,13 +326,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not cuts[-1]:
                 continue
             rank = np.unique(toks[k.spread(n, off[rows])], return_inverse=True)[1]
-            doc, side, below, i, j = doc_all[s:e], side_all[s:e], below_all[s:e], i_all[s], j_all[s]
-            part = np.arange(e - s)
+            doc, side, below, settled = (x[s:e] for x in cols)
+            part = np.where(settled, np.argmax(settled), np.arange(e - s))
             mine = np.zeros(int(rank.max()) + 1, dtype=np.int64)
             for a in range(e - s - 1):
                 b = np.arange(a + 1, e - s)
                 b = b[(part[b] != part[a]) & (n[b] > 0)]
-                b = b[_allowed(a, b, n, side, below, i, j)]
+                b = b[_allowed(a, b, n, doc, side, below, settled)]
                 b = _owned(s + a, s + b, p_all[s], flat, heads) - s
                 if not len(b) or not n[a]:
                     continue
@@ -337,6 +351,65 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(left, np.int64)), pa.array(np.array(right, np.int64))], names=["a", "b"])
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (RIGHT) of a tile that link with its leader (LEFT), as (p, leader, doc), the leader itself included."""
+    for t, order, starts, ends in _by_key(batches):
+        side, doc, p = (t[c].to_numpy()[order] for c in ("side", "doc", "p"))
+        raw, off = k.text_buffers(t["body"])
+        toks, off = raw.view(k.U64), off // 8
+        out = []
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            first = np.flatnonzero(side[s:e] == LEFT)
+            if not len(first):
+                continue
+            a = order[s + first[0]]
+            own = toks[off[a] : off[a + 1]]  # ascending
+            at = np.arange(s, e)
+            rows = order[s:e]
+            n = off[rows + 1] - off[rows]
+            some = toks[k.spread(n, off[rows])]
+            hit = own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some
+            total = np.concatenate([[0], np.cumsum(hit)])
+            both = np.diff(total[np.concatenate([[0], np.cumsum(n)])])
+            at = at[7 * both >= 3 * (n + len(own))]
+            out.append((p[at], np.full(len(at), doc[s + first[0]]), doc[at]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["p", "lead", "doc"])
+
+
+KEY = "p long, g int, i int, j int, side int, below boolean, settled boolean, head array<long>"
+
+
+def _with_sets(base: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """rows (KEY, doc), each with the shingles of its document as `body`.
+
+    While the ids are few enough they are sent to the texts, so that other texts do not move.
+    """
+    place = rows.groupBy("doc").agg(F.collect_list(F.struct("p", "g", "i", "j", "side", "below", "settled", "head")).alias("places"))
+    ids = rows.select("doc").distinct()
+    texts = base.join(F.broadcast(ids), "doc", "left_semi") if rows.count() <= SENT_IDS else base
+    return texts.join(place, "doc").select("doc", "text", "places").mapInArrow(_sets(hot), KEY + ", doc long, body binary")
+
+
+def _settle_led(base: DataFrame, put: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
+    """put(p, doc, n, band, head) with `settled`, and the edges from leaders of large groups to members that link with them."""
+    bands = put.groupBy("p", "band").agg(F.count("*").alias("c"), F.min(F.struct("doc", "n")).alias("low"))
+    large = bands.groupBy("p").agg(F.sum("c").alias("c"), F.max_by("low", F.struct("c", "band")).alias("low")).where(F.col("c") > LEAD)
+    large = table(large.select("p", F.ceil(F.col("c") / TILE).cast("int").alias("m"), F.col("low.doc").alias("lead"), F.col("low.n").alias("lead_n")), "leaders")
+    if not large.count():
+        return put.withColumn("settled", F.lit(False)), None
+    blank = [F.lit(0).alias("g"), F.lit(0).alias("j"), F.lit(False).alias("below"), F.lit(False).alias("settled"), F.expr("cast(array() as array<long>)").alias("head")]
+    near = (4 * F.least("n", "lead_n") >= 3 * F.greatest("n", "lead_n")) & (F.col("doc") != F.col("lead"))
+    members = lookup(put.select("p", "doc", "n"), large, ["p"], "inner").where(near)
+    members = members.select("p", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int").alias("i"), F.lit(RIGHT).alias("side"), "doc", *blank)
+    leads = large.select("p", F.explode(F.expr("sequence(0, m - 1)")).alias("i"), F.lit(LEFT).alias("side"), F.col("lead").alias("doc"), *blank)
+    names = ["p", "g", "i", "j", "side", "below", "settled", "head", "doc"]
+    rows = table(members.select(*names).union(leads.select(*names)), "led")
+    led = table(_with_sets(base, rows, hot).repartition("p", "g", "i", "j").mapInArrow(_led, "p long, lead long, doc long"), "led")
+    known = led.select("p", "doc", F.lit(True).alias("settled")).distinct()
+    return put.join(known, ["p", "doc"], "left").withColumn("settled", F.coalesce("settled", F.lit(False))), led.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"))
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of at least FREQUENT of about SAMPLE_DOCS documents, MAX_FREQUENT at most.
 
@@ -372,32 +445,35 @@ def jaccard_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = feat.select("doc", "head").mapInArrow(_tokens, "tok long, doc long").repartition(tasks, "tok").mapInArrow(_pivots, "p long, salt int, docs binary")
     near = near.repartition("p", "salt").mapInArrow(_merged, "p long, doc long")
     pivots = near.groupBy("doc").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    classes = feat.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.when(F.octet_length("head") > 0, F.col("doc"))).alias("rep"), F.min(F.struct("id", F.col("doc").alias("node"))).alias("low"))
+    classes = table(classes, "classes")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(BAND))).cast("int")
-    one = feat.where("n > 0").dropDuplicates(["doc"]).select("doc", "n", "bits", band.alias("band"))
+    one = feat.where("n > 0").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "n", "bits", band.alias("band"))
+    one = table(one, "heads")
     put = one.select("doc", "n", "band").join(pivots, "doc").select("doc", "n", "band", F.slice("ps", 1, OWNERS).alias("head"), F.explode("ps").alias("p"))
+    put, led = _settle_led(base, table(put, "pivots"), hot)
     both = F.array(F.struct(F.col("band").alias("g"), F.lit(False).alias("below")), F.struct((F.col("band") + 1).alias("g"), F.lit(True).alias("below")))
-    put = table(put.select("p", "doc", "n", "head", F.explode(both).alias("x")).select("p", "x.g", "x.below", "doc", "n", "head"), "members")
-    count = put.groupBy("p", "g").agg(F.count("*").alias("c"), F.min("below").alias("lone")).where("c > 1 and not lone")
-    m = F.ceil(F.col("c") / TILE).cast("int")
-    put = put.join(count, ["p", "g"]).select("p", "g", "below", "doc", "n", "head", m.alias("m")).withColumn("side", F.pmod(F.xxhash64("doc"), F.col("m")).cast("int"))
-    put = put.withColumn("o", F.explode(F.expr("sequence(0, m - 1)"))).select("p", "g", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "below", "doc", "n", "head")
+    put = table(put.select("p", "doc", "n", "head", "settled", F.explode(both).alias("x")).select("p", "x.g", "x.below", "doc", "n", "head", "settled"), "members")
+    count = put.groupBy("p", "g").agg(F.count("*").alias("c"), F.sum((~F.col("settled")).cast("long")).alias("u"), F.min("below").alias("lone")).where("c > 1 and u > 0 and not lone")
+    put = lookup(put, count.select("p", "g", F.ceil(F.col("c") / TILE).cast("int").alias("m"), F.ceil(F.col("u") / TILE).cast("int").alias("mu")), ["p", "g"], "inner")
+    # (side, i, j) of each row: once in a group of one tile, else unsettled ones by all
+    place = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    mine, whose = F.pmod(F.xxhash64("doc"), F.col("m")), F.pmod(F.xxhash64("doc"), F.col("mu"))
+    right = F.transform(F.expr("sequence(0, mu - 1)"), lambda i: place(RIGHT, i, mine))
+    left = F.transform(F.expr("sequence(0, m - 1)"), lambda j: place(LEFT, whose, j))
+    tiles = F.when(F.col("m") == 1, F.array(place(BOTH, F.lit(0), F.lit(0)))).when(F.col("settled"), right).otherwise(F.concat(right, left))
+    put = put.select("p", "g", "below", "settled", "doc", "n", "head", F.explode(tiles).alias("x")).select("p", "g", "x.i", "x.j", "x.side", "below", "settled", "doc", "n", "head")
     put = put.join(one.select("doc", "bits"), "doc").repartition("p", "g", "i", "j")
-    key = "p long, g int, i int, j int, side int, below boolean"
-    left = table(put.select("p", "g", "i", "j", "side", "below", "doc", "n", "bits", "head").mapInArrow(_possible, key + ", doc long, head array<long>"), "possible")
-    place = left.groupBy("doc").agg(F.collect_list(F.struct("p", "g", "i", "j", "side", "below", "head")).alias("places"))
-    # few documents have a possible partner; while their ids are few enough, the others' texts are not moved
-    texts = base.join(F.broadcast(left.select("doc").distinct()), "doc", "left_semi") if left.count() <= SENT_IDS else base
-    body = texts.join(place, "doc").select("doc", "text", "places").mapInArrow(_sets(hot), key + ", head array<long>, doc long, body binary")
-    links = body.repartition("p", "g", "i", "j").mapInArrow(_links, "a long, b long")
-    first = feat.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("a"))
-    same = feat.where("n > 0").select("doc", "s1", "s2", "n").join(first, ["s1", "s2", "n"]).where("doc > a").select("a", F.col("doc").alias("b"))
-    comp = components(links.union(same))
+    left = table(put.select("p", "g", "i", "j", "side", "below", "settled", "doc", "n", "bits", "head").mapInArrow(_possible, KEY.replace(", head array<long>", "") + ", doc long, head array<long>"), "possible")
+    links = _with_sets(base, left, hot).repartition("p", "g", "i", "j").mapInArrow(_links, "a long, b long")
+    comp = components(links if led is None else links.union(led))
     # the least node of a component is not among its nodes there
-    comp = comp.union(comp.select("component", "component").distinct())
-    rows = feat.select(F.col("doc").alias("node"), "id", "n")
-    low = rows.join(comp, "node").groupBy("component").agg(F.min(F.struct("id", "node")).alias("low"))
-    out = rows.join(comp.join(low, "component").select("node", "low"), "node", "left")
-    return out.select("node", "id", "n", F.coalesce("low.id", "id").alias("low_id"), F.coalesce("low.node", "node").alias("low_node"))
+    comp = comp.union(comp.select("component", "component").distinct()).withColumnRenamed("node", "rep")
+    classes = table(classes.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "classes")
+    low = classes.groupBy("component").agg(F.min("low").alias("least"))
+    named = table(lookup(classes, low, ["component"]).select("s1", "s2", "n", "least"), "classes")
+    out = lookup(feat.select(F.col("doc").alias("node"), "id", "n", "s1", "s2"), named, ["s1", "s2", "n"])
+    return out.select("node", "id", "n", F.coalesce("least.id", "id").alias("low_id"), F.coalesce("least.node", "node").alias("low_node"))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

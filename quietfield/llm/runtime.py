@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT_ROWS, HOT_KEYS = 256, 4096
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -48,12 +49,28 @@ def _clean() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def lookup(rows: DataFrame, of: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """rows joined with of, whose keys are unique, where a few keys may hold most rows.
+
+    Keys with more than a 4,096th of the rows are 4,096 at most, so what belongs to them is
+    broadcast; the others meet by key.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    total = rows.count()
+    hot = counts.where(F.col("_rows") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys).collect()
+    if not hot:
+        return rows.join(of, keys, how)
+    some = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    few = F.broadcast(of.join(some, keys, "left_semi"))
+    return rows.join(some, keys, "left_semi").join(few, keys, how).unionByName(rows.join(some, keys, "left_anti").join(of, keys, how))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b) as (node, component), component the smallest node.
 
     Alternating large-star and small-star steps; every step is an aggregate and a
-    join keyed by node, written to the shared folder, so no list of neighbours and
-    no part of the graph is ever gathered in one place.  Nodes without an edge do
+    look-up by node, written to the shared folder.  No list of neighbours is gathered; a
+    node with very many gets their least one by broadcast.  Nodes without an edge do
     not appear.  Ends when a pair of steps changes nothing (of the order of log n).
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -68,10 +85,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if was[0] == 0:
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low2, large["a"] == low2["u"])
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = lookup(both, low, ["a"], "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = table(large, "edges")
+        small = lookup(large, large.groupBy("a").agg(F.min("b").alias("m")), ["a"], "inner")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         e = table(small, "edges")
         now = state(e)

@@ -72,6 +72,48 @@ def test_square_tiles_and_frequent_shingles(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_large_groups_have_leaders(spark, monkeypatch):
+    """One family of near copies in chains and another around one text; tiles of a few members."""
+    monkeypatch.setattr(op2, "LEAD", 4)
+    monkeypatch.setattr(op2, "TILE", 9)
+    monkeypatch.setattr(op2, "FREQUENT", 10**6)
+    r = random.Random(5)
+    words = ["z%d" % i for i in range(120)]
+    rows = []
+    for i in range(150):  # a chain: each differs a little from the one before, so the ends do not link
+        words[r.randrange(len(words))] = "c%d" % i
+        rows.append((i, " ".join(words)))
+    for i in range(150, 260):
+        own = ["y%d" % j for j in range(90)]
+        own[r.randrange(90)] = "d%d" % i
+        rows.append((i, " ".join(own)))
+    rows += [(i + 500, t) for i, t in rows[::40]]
+    r.shuffle(rows)
+    got = sorted(map(tuple, op2.jaccard_groups(frame(spark, rows)).collect()))
+    assert got == sorted(brute(sorted(rows)))
+
+
+def test_hot_keys_are_looked_up_whole(spark, monkeypatch):
+    from quietfield.llm import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 2)
+    monkeypatch.setattr(runtime, "HOT_KEYS", 50)
+    rows = corpus(3, 200) + [(1000 + i, "the very same text in many rows of the table") for i in range(90)]
+    got = sorted(map(tuple, op2.jaccard_groups(frame(spark, rows)).collect()))
+    assert got == sorted(brute(sorted(rows)))
+
+
+def test_very_long_and_alternating_texts(spark):
+    one, two = "alpha ", "beta "
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = "".join((one, two)[m] for m in morse), "".join((two, one)[m] for m in morse)
+    r = random.Random(6)
+    long = " ".join("u%d" % r.randrange(10**9) for _ in range(150_000))
+    rows = [(1, "ab" * 4000), (2, "ba" * 4000), (3, "".join("ab"[m] for m in morse)), (4, "".join("ba"[m] for m in morse)), (5, long), (6, long + " tail"), (7, a), (8, b)]
+    got = sorted(map(tuple, op2.jaccard_groups(frame(spark, rows)).collect()))
+    assert got == brute(rows)
+
+
 def test_empty_and_repeated(spark):
     assert op2.jaccard_groups(frame(spark, [])).count() == 0
     got = op2.jaccard_groups(frame(spark, [(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "z")])).collect()
