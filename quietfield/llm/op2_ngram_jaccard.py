@@ -42,7 +42,7 @@ from .repeats import NULL_ID
 from .runtime import components, lookup, table
 
 SHINGLE = 5
-TILE = 4096
+TILE = 1024
 LEAD = 256  # members of a group from which on they are first compared with its leader
 BAND = 1.34  # a little over 4/3: documents that link are at most one band apart
 SAMPLE_DOCS = 8192  # documents looked at for frequent shingles

@@ -17,7 +17,7 @@ def brute(docs, items, L):
     wins = {}
     for item, t in items:
         w = words(t)
-        if item is None or t is None or not w:
+        if t is None or not w:
             continue
         for p in range(len(w) - L + 1) if len(w) >= L else [0]:
             wins.setdefault(tuple(w[p : p + L]), set()).add(item)
@@ -30,7 +30,7 @@ def brute(docs, items, L):
             for p in range(len(w) - n + 1):
                 if (x := tuple(w[p : p + n])) in wins:
                     hit[p : p + n] = [True] * n
-                    found |= wins[x]
+                    found |= wins[x] - {None}
         names = ",".join(sorted(map(str, found)))
         out.append((d, len(w), sum(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
     return out
@@ -54,8 +54,20 @@ def test_matches_every_window(spark):
         docs += [(200, None), (201, ""), (None, "zz top"), (7, "zz  Top!")]
         df = spark.createDataFrame([(a, b, 0) for a, b in docs], "doc_id long, text string, n_words int").repartition(3)
         it = spark.createDataFrame(items, "item_id long, text string")
-        got = contamination(df, it, L).collect()
-        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(docs, items, L)))
+        for most in (500_000, 40):  # one automaton, and many with long items in pieces
+            got = contamination(df, it, L, max_words=most).collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(docs, items, L)))
+
+
+def test_very_long_and_alternating(spark):
+    r = random.Random(9)
+    long = " ".join("w%d" % r.randrange(10**6) for _ in range(60_000))
+    morse = lambda a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(1024))
+    items = [(1, " ".join(long.split()[59_000:59_020])), (2, long + " end"), (3, morse("a", "b"))]
+    docs = [(1, long), (2, "x " * 100_000 + " ".join(long.split()[100:140])), (3, morse("b", "a")), (4, morse("a", "b"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = contamination(df, spark.createDataFrame(items, "item_id long, text string"), max_words=20_000).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(docs, items, 13)))
 
 
 def test_cut_text_and_empty(spark):

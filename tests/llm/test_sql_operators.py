@@ -82,21 +82,35 @@ def test_targets(spark):
 
 
 def test_urls(spark):
-    urls = ["http://a.example.com/en/1?x=/", "https://WWW.Example.com/en/", "http://www.example.com/en", "ftp://x.net/es/a#b", "http://net/fr/", "http://spam-farm.org/en/?q", "http://xspam.org/", "http://a.casino1.de", "no scheme", None, "http://", "http://com", "http://com/", "http://notcom/", "x://y://z.com/p", "http://u?a/b", "http://spam.net/es/x", "http://m.www.example.com/en/q"]
+    urls = ["http://a.example.com/en/1?x=/", "https://WWW.Example.com/en/", "http://www.example.com/en", "ftp://x.net/es/a#b", "http://net/fr/", "http://adult-x.example.net/en/?q", "http://m.adult-x.example.net/", "http://xadult-x.example.net/", "http://a.casino-win.example.com", "no scheme", None, "http://", "http://com", "http://com/", "http://notcom/", "x://y://z.com/p", "http://u?a/b", "http://spam.net/es/x", "http://m.www.example.com/en/q"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls * 2)] + [(None, "http://spam.x", "h")], "page_id long, url string, host string").repartition(2)
-    listed = df.select(op9.host_of(op9.F.col("url")).alias("key")).where(op9.listed_by_label(op9.F.col("key"))).distinct()
+    listed = spark.createDataFrame([(h,) for h in (*op9.LISTED_HOSTS, "spam-farm.example.com", None)], "key string")
     cols = ["page_id", "host", "path", "rule", "verdict"]
     want = sorted(oracle(op9.SQL, pages=df.select("page_id", "url")), key=str)
-    assert rows(op9.filter_urls(df, listed), cols) == want
+    assert {w[4] for w in want if w[3] is None} == {"allow", "block"}
+    for most in (op9.MAX_SHARDS, 0):  # filters as literals, and asked by join
+        assert rows(op9.filter_urls(df, listed, max_shards=most), cols) == want
     assert op9.filter_urls(df.limit(0), listed.limit(0)).count() == 0
+    assert {x.verdict for x in op9.filter_urls(df, listed.limit(0), rules=[]).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_when_crowded(spark, monkeypatch):
-    monkeypatch.setattr(op9, "MIN_BITS", 1 << 10)
+def test_cascade_is_exact_in_shards_and_by_join(spark, monkeypatch):
+    monkeypatch.setattr(op9, "SHARD", 5)
+    monkeypatch.setattr(op9, "BITS_PER_KEY", 4)
     keys = spark.range(6000).selectExpr("concat('h', id) as key", "id % 7 = 0 as listed")
-    cascade = op9.Cascade(keys, max_bits=1 << 12)
-    assert len(cascade.levels) >= 3
-    assert keys.where(cascade.contains(op9.F.col("key")) != op9.F.col("listed")).count() == 0
+    for most in (1000, 0):
+        cascade = op9.Cascade(keys, most)
+        assert len(cascade.levels) >= 3 and cascade.sent == (most > 0)
+        asked = cascade.ask(keys.union(keys.limit(9)), "key")
+        assert asked.count() == 6009 and asked.where("_listed <> listed").count() == 0
+
+
+def test_cascade_grows_with_the_list(spark):
+    """A list of 400,000 keys: no bound on the bits, so the levels shrink."""
+    keys = spark.range(800_000).selectExpr("concat('host', id, '.example.org') as key", "id % 2 = 0 as listed")
+    cascade = op9.Cascade(keys)
+    assert cascade.ask(keys, "key").where("_listed <> listed").count() == 0
+    assert len(cascade.levels) < 20 and cascade.levels[0].words * 64 >= 16 * 400_000
 
 
 @pytest.mark.parametrize("name", ["op4_line_dedup", "op8_source_mix", "op9_url_filters"])
