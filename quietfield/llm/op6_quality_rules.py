@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +16,20 @@ from . import kernels as k
 from .runtime import table
 
 MIN_WORDS = 50
-RISK = 0.02  # false rejections allowed per stratum, all rules together
+RISK = 0.02  # share of good documents that may be rejected, per stratum, all rules together
 CONFIDENCE_LOSS = 0.05  # chance that any of the guarantees fails
-#: rule -> cutoffs from loose to tight; a document is rejected when its value is above the cutoff
+STEPS = 24
+#: rule -> its loosest and its tightest cutoff; a document is rejected when a value is above the cutoff
 RULES = {
-    "symbol_share": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03],
-    "mark_share": [0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.16, 0.13, 0.1],
-    "upper_share": [0.98, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3],
-    "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3],
-    "repeat_share": [0.5, 0.45, 0.4, 0.35, 0.3, 0.25],
-    "word_length": [40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0],
+    "symbol_share": (0.5, 0.01),
+    "mark_share": (0.6, 0.05),
+    "upper_share": (0.98, 0.1),
+    "dup_line_share": (0.9, 0.1),
+    "repeat_share": (0.5, 0.1),
+    "word_length": (40.0, 8.0),
 }
+#: the cutoffs of all rules at each step, from loose to tight by equal factors
+SEQUENCE = [{rule: round(loose * (tight / loose) ** (i / (STEPS - 1)), 6) for rule, (loose, tight) in RULES.items()} for i in range(STEPS)]
 SYMBOLS = np.zeros(256, dtype=np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 MARKS = np.zeros(256, dtype=np.int64)
@@ -100,25 +105,23 @@ def binomial_tail(n: int, x: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(top - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq) for i in range(x + 1)))
 
 
-def choose_cutoffs(holdout: list[dict]) -> dict[str, dict[str, float]]:
-    """The tightest cutoff of each rule and stratum whose false rejections are limited.
+def choose_steps(holdout: list[dict]) -> dict[str, int]:
+    """The tightest step of SEQUENCE for each stratum whose false rejections are limited.
 
-    holdout: per stratum its name, n (good holdout documents) and, per rule, the number
-    above each cutoff.  The exact (Clopper-Pearson) upper bound on the share of good
-    documents rejected is at most RISK / rules exactly when the binomial tail at that
-    risk is at most the level.  Levels are divided by rules times strata (Bonferroni);
-    along a rule's cutoffs testing goes from loose to tight and stops at the first that
-    fails, which needs no further correction (fixed sequence).
+    holdout: per stratum its name, n (good holdout documents) and `above`, how many of them
+    some rule rejects at each step.  The exact (Clopper-Pearson) upper bound on the share
+    of good documents rejected is at most RISK exactly when the binomial tail at that risk
+    is at most the level.  The level is divided by the number of strata (Bonferroni);
+    within one, all rules tighten together and testing goes from loose to tight and stops
+    at the first step that fails, which needs no further correction (fixed sequence).
     """
-    level = CONFIDENCE_LOSS / max(1, len(RULES) * len(holdout))
-    risk = RISK / len(RULES)
-    out: dict[str, dict[str, float]] = {}
+    level = CONFIDENCE_LOSS / max(1, len(holdout))
+    out: dict[str, int] = {}
     for row in holdout:
-        for rule, cuts in RULES.items():
-            for cut, x in zip(cuts, row[rule], strict=True):
-                if row["n"] == 0 or binomial_tail(row["n"], x, risk) > level:
-                    break
-                out.setdefault(row["stratum"], {})[rule] = cut
+        for step, x in enumerate(row["above"]):
+            if row["n"] == 0 or binomial_tail(row["n"], x, RISK) > level:
+                break
+            out[row["stratum"]] = step
     return out
 
 
@@ -141,41 +144,76 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """Per document the counts, base_failed and kept; with keep_columns every column of docs and `kept` as _kept.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated
-    three-word windows.  kept is false if base_failed or if a rule's value is above the
-    cutoff chosen for the document's stratum (its language; null is a stratum of its
-    own).  A stratum with too few good holdout documents to prove a cutoff gets none.
+    three-word windows.  kept is false if base_failed or if a rule's value is above its
+    cutoff at the step chosen for the document's stratum (its language; null is a stratum
+    of its own).  A stratum with too few good holdout documents to prove a step gets none.
     The holdout are all documents labelled good (quality 1) that pass the base rules;
-    cutoffs are a fixed grid, so none of them was fitted elsewhere.  Labels are joined by
-    doc_id; of repeated labels the best counts; labels without id or document are
+    cutoffs are a fixed sequence, so none of them was fitted elsewhere.  Labels are joined
+    by doc_id; of repeated labels the best counts; labels without id or document are
     ignored.  Null texts have no words and fail.  Null and repeated ids stay, a row for
-    a row.  An empty table gives no rows; without labels only the base rules act.
+    a row.  A very long text is counted whole.  An empty table gives no rows; without
+    labels only the base rules act.  Texts are counted once: what is counted is written.
     """
     names = docs.columns if keep_columns else []
     plain = [F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("_stratum")]
-    carried = [F.col(c).alias(f"_c{n}") for n, c in enumerate(names)]
-    shape = docs.select(*plain, *carried)
+    shape = docs.select(*plain, *[F.col(c).alias(f"_c{n}") for n, c in enumerate(names)])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema.fields[1:]] + [f"{c} long" for c in COUNTS])
-    counted = shape.mapInArrow(_count, schema)
+    counted = table(shape.mapInArrow(_count, schema), "counts")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    slim = table(docs.select(*plain).mapInArrow(_count, ", ".join(["_id long", "_stratum string"] + [f"{c} long" for c in COUNTS])), "counts")
+    values = _values()
     good = labels.select(F.col("doc_id").cast("long").alias("_label"), F.col("quality").cast("int").alias("_q")).where("_label is not null").groupBy("_label").agg(F.max("_q").alias("_q")).where("_q = 1")
-    held = slim.where(~base).join(good, slim["_id"] == good["_label"], "left_semi")
-    sums = [F.count("*").alias("n")]
-    for rule, value in _values().items():
-        sums += [F.sum((value > c).cast("long")).alias(f"{rule}_{i}") for i, c in enumerate(RULES[rule])]
-    rows = held.groupBy("_stratum").agg(*sums).collect()  # one row per language
-    cuts = choose_cutoffs([{"stratum": r["_stratum"], "n": r["n"]} | {rule: [r[f"{rule}_{i}"] for i in range(len(c))] for rule, c in RULES.items()} for r in rows])
+    slim = counted.where(~base).select("_id", "_stratum", *[v.alias(rule) for rule, v in values.items()])
+    held = slim.join(good, slim["_id"] == good["_label"], "left_semi")
+    above = [F.sum(reduce(or_, [F.col(rule) > c for rule, c in cuts.items()]).cast("long")).alias(f"above_{i}") for i, cuts in enumerate(SEQUENCE)]
+    rows = held.groupBy("_stratum").agg(F.count("*").alias("n"), *above).collect()  # one row per language
+    steps = choose_steps([{"stratum": r["_stratum"], "n": r["n"], "above": [r[f"above_{i}"] for i in range(STEPS)]} for r in rows])
     verdict = F.lit(False)
-    for rule, value in _values().items():
-        known = {s: c[rule] for s, c in cuts.items() if rule in c}
-        if known:
-            limit = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])
+    if steps:
+        for rule, value in values.items():
+            limit = F.create_map(*[F.lit(x) for s, i in sorted(steps.items()) for x in (s, SEQUENCE[i][rule])])
             verdict = verdict | F.coalesce(value > F.element_at(limit, F.col("_stratum")), F.lit(False))
     kept = ~(base | verdict)
     if keep_columns:
         return counted.select(*[F.col(f"_c{n}").alias(c) for n, c in enumerate(names)], kept.alias("_kept"))
-    return slim.select(F.col("_id").alias("doc_id"), *COUNTS[:5], base.alias("base_failed"), kept.alias("kept"))
+    return counted.select(F.col("_id").alias("doc_id"), *COUNTS[:5], base.alias("base_failed"), kept.alias("kept"))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: the share of good documents above, and the tail of the binomial, are worked out as in choose_steps
+SQL = r"""
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM words)),
+twice AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p + d) AS n FROM twice, (VALUES (0), (1), (2)) AS t(d) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counts AS (
+  SELECT words.doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         coalesce(n_dup, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         len(regexp_extract_all(text, '[\x21-\x2B\x2D\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) AS n_marks, len(regexp_extract_all(text, '[A-Z]')) AS n_upper
+  FROM words LEFT JOIN repeated USING (doc_id) LEFT JOIN lines USING (doc_id)),
+shares AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars::DOUBLE ELSE 0.0::DOUBLE END AS symbol_share,
+         CASE WHEN word_chars > 0 THEN n_marks::DOUBLE / word_chars::DOUBLE ELSE 0.0::DOUBLE END AS mark_share,
+         CASE WHEN word_chars > 0 THEN n_upper::DOUBLE / word_chars::DOUBLE ELSE 0.0::DOUBLE END AS upper_share,
+         CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines::DOUBLE ELSE 0.0::DOUBLE END AS dup_line_share,
+         CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words::DOUBLE ELSE 0.0::DOUBLE END AS repeat_share,
+         CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words::DOUBLE ELSE 0.0::DOUBLE END AS word_length FROM counts),
+steps(step, c1, c2, c3, c4, c5, c6) AS (VALUES STEPS),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+tested AS (
+  SELECT stratum, step, count(*) AS n, count(*) FILTER (WHERE symbol_share > c1 OR mark_share > c2 OR upper_share > c3 OR dup_line_share > c4 OR repeat_share > c5 OR word_length > c6) AS x
+  FROM shares SEMI JOIN good USING (doc_id) CROSS JOIN steps WHERE NOT base_failed GROUP BY stratum, step),
+tails AS (
+  SELECT *, CASE WHEN x >= n THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(RISK::DOUBLE) + (n - i) * ln(1.0::DOUBLE - RISK::DOUBLE)))) END AS tail,
+         (SELECT count(DISTINCT stratum) FROM tested) AS strata FROM tested),
+chosen AS (SELECT stratum, min(step) FILTER (WHERE tail > LOSS::DOUBLE / strata) AS failing FROM tails GROUP BY stratum),
+limits AS (SELECT stratum, c1, c2, c3, c4, c5, c6 FROM chosen JOIN steps ON step = coalesce(failing, N_STEPS) - 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(symbol_share > c1 OR mark_share > c2 OR upper_share > c3 OR dup_line_share > c4 OR repeat_share > c5 OR word_length > c6, false) AS kept
+FROM shares LEFT JOIN limits USING (stratum)
+""".replace("N_STEPS", str(STEPS)).replace("STEPS", ", ".join(f"({i}, " + ", ".join(f"{c}::DOUBLE" for c in cuts.values()) + ")" for i, cuts in enumerate(SEQUENCE))).replace("RISK", str(RISK)).replace("LOSS", str(CONFIDENCE_LOSS))

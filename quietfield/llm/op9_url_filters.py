@@ -165,7 +165,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string")
+    listed = spark.range(1).select(F.explode(F.array(*[F.lit(h) for h in LISTED_HOSTS])).alias("key"))
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), listed)
 
 

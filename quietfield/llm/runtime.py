@@ -57,10 +57,10 @@ def lookup(rows: DataFrame, of: DataFrame, keys: list[str], how: str = "left") -
     """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
     total = rows.count()
-    hot = counts.where(F.col("_rows") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys).collect()
-    if not hot:
+    hot = table(counts.where(F.col("_rows") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys), "hot")
+    if hot.isEmpty():
         return rows.join(of, keys, how)
-    some = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    some = F.broadcast(hot)
     few = F.broadcast(of.join(some, keys, "left_semi"))
     return rows.join(some, keys, "left_semi").join(few, keys, how).unionByName(rows.join(some, keys, "left_anti").join(of, keys, how))
 
