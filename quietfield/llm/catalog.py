@@ -6,16 +6,16 @@ import importlib
 
 #: query -> (module, SQL attribute or None)
 OPERATORS = {
-    "op1_suffix_array_dedup": ("op1_suffix_dedup", None),
-    "op2_ngram_jaccard": ("op2_ngram_jaccard", None),
+    "op1_suffix_array_dedup": ("op1_suffix_dedup", "SQL"),
+    "op2_ngram_jaccard": ("op2_ngram_jaccard", "SQL"),
     "op3_language_id": ("op3_language_id", None),
     "op4_line_dedup": ("op4_line_dedup", "SQL"),
     "op5_pii": ("op5_pii", None),
-    "op6_quality_rules": ("op6_quality_rules", None),
-    "op7_substring_dedup": ("op7_substring_dedup", None),
+    "op6_quality_rules": ("op6_quality_rules", "SQL"),
+    "op7_substring_dedup": ("op7_substring_dedup", "SQL"),
     "op8_source_mix": ("op8_source_mix", "SQL"),
     "op9_url_filters": ("op9_url_filters", "SQL"),
-    "op10_benchmark_decontamination": ("op10_decontamination", None),
+    "op10_benchmark_decontamination": ("op10_decontamination", "SQL"),
 }
 
 

@@ -134,7 +134,7 @@ def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int =
     if not len(blocks):
         return np.zeros(0, U64)
     eight = unaligned(raw, "<u8")
-    start = U64(seed) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15)
+    start = U64((seed * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15) % (1 << 64))
     if int(blocks.sum()) == len(blocks):  # short words only
         left = size.astype(U64)
         value = eight[begin] & KEEP_LOW[np.minimum(size, 8)]

@@ -372,3 +372,21 @@ def _paired(run, batches):
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tests AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_words AS (SELECT item_id, item, least(len(w), 13) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM tests),
+item_grams AS (SELECT item_id, n, list(word) OVER (PARTITION BY item ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g FROM item_words),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(g, ' ') AS g FROM item_grams WHERE len(g) = n),
+sizes AS (SELECT DISTINCT n FROM windows),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
+grams AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g FROM words),
+found AS (SELECT DISTINCT x.doc_id, x.p, x.n, windows.item_id FROM (SELECT doc_id, p, n, array_to_string(g[1:n], ' ') AS g FROM grams JOIN sizes ON len(g) >= n) x JOIN windows ON x.n = windows.n AND x.g = windows.g),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

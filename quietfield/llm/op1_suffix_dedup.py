@@ -392,3 +392,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+bytes AS (SELECT doc_id, p, b[p:p] AS byte, CASE WHEN p <= octet_length(b) - 99 THEN b[p:p + 99] END AS g FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) + 1)) AS p FROM docs)),
+marks AS (SELECT doc_id, p, byte, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1 AS again FROM bytes),
+gone AS (SELECT doc_id, p, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM marks),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM gone),
+cut AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+         coalesce(string_agg(hex(byte), '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM edges GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""

@@ -35,10 +35,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where("id is not null and lang is not null and text is not null and length(text) > 0").where(~held_out("id"))
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # one row per language
+    if not sizes:
+        return []
+    # the least hashes are wanted, so only rows below a bound that some 8 * TRAIN_DOCS of each language pass are ranked
+    bound = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 8 * TRAIN_DOCS / n))])
+    low = own.select("id", "lang").where((F.xxhash64("id").cast("double") / float(1 << 64) + 0.5) <= F.element_at(bound, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = own.select("id", "lang").withColumn("r", rank).where(F.col("r") <= TRAIN_DOCS).select("id").distinct()
+    picked = low.withColumn("r", rank).where(F.col("r") <= TRAIN_DOCS).select("id").distinct()
     some = own.join(F.broadcast(picked), "id").select("id", "lang", F.substring("text", 1, TRAIN_BYTES).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     texts: dict[str, list] = {}
     for r in some.collect():  # at most languages * TRAIN_DOCS * TRAIN_BYTES
         texts.setdefault(r["lang"], []).append((r["id"], r["text"]))
@@ -93,7 +98,8 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], id_col: str = "doc
     output names the language, the more frequent language on a tie.  rejected: the
     margin to the next is narrower than MARGIN (lang_pred still names the best).  und,
     score 0, rejected: the text is null or has no letter, or nothing was learned.
-    Null and repeated ids stay, a row for a row.  Other columns are not looked at.
+    Null and repeated ids stay, a row for a row.  A very long text is compressed in blocks,
+    all of them.  Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), held_out(id_col).alias(FOLD))
     return rows.mapInArrow(_predict(model), f"doc_id long, {FOLD} boolean, lang_pred string, score double, rejected boolean")

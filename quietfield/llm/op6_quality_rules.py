@@ -185,8 +185,9 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 #: the share of good documents above, and the tail of the binomial, are worked out as in choose_steps
 SQL = r"""
 WITH words AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-windows AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM words)),
-twice AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
+windows AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS g FROM each),
+twice AS (SELECT doc_id, p FROM windows WHERE len(g) = 3 QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(g, ' ')) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT p + d) AS n FROM twice, (VALUES (0), (1), (2)) AS t(d) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),

@@ -14,9 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOOD, BAD = 2.0, 0.5  # quality weights of labelled documents; others weigh 1
 
 
-def uniform(column: Column) -> Column:
-    """A number in (0, 1) from an id, the same in every run and engine."""
-    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(column.cast("string"), F.lit(""))).cast("binary"))
+def uniform(column: Column, text: Column) -> Column:
+    """A number in (0, 1) from an id, or from the text of a row without one, the same in every run and engine."""
+    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(column.cast("string"), text, F.lit(""))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -50,16 +50,17 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, most:
     words that are missing.  quality: 2 for documents labelled good, 0.5 for bad, else 1.
     The running sums are two-level, so no source is gathered in one task: sums of
     buckets of keys, and sums inside a bucket.  Null texts have no words; a null source
-    is a source; null ids and rows that repeat an id are documents of their own, ordered
-    by size where keys tie; an empty table gives no rows; other columns are ignored.
+    is a source; rows without an id, whose key is from their text, and rows that repeat an
+    id are documents of their own, ordered by size where keys tie; a very long text counts
+    whole; an empty table gives no rows; other columns are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("u"))
     quality = F.lit(1.0)
     if labels is not None:
         marks = labels.select(F.col("doc_id").cast("long").alias("_label"), F.col("quality").cast("int").alias("_q")).where("_label is not null").groupBy("_label").agg(F.max("_q").alias("_q"))
         own = own.join(marks, own["doc_id"] == marks["_label"], "left")
         quality = F.when(F.col("_q") == 1, GOOD).when(F.col("_q") == 0, BAD).otherwise(1.0)
-    own = table(own.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / quality).alias("key")), "sizes")
+    own = table(own.select("doc_id", "source", "size", (-F.log("u") / quality).alias("key")), "sizes")
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     goal = table(targets(sizes, weights, most), "targets")
     # complete epochs, then the words left over
@@ -87,7 +88,7 @@ SQL = r"""
 WITH labelled AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 own AS (
   SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         -ln((('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)
+         -ln((('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, d.text, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)
            / (CASE WHEN q = 1 THEN 2.0 WHEN q = 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS key
   FROM documents d LEFT JOIN labelled l ON d.doc_id = l.doc_id),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM own GROUP BY source),
