@@ -427,7 +427,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64))], names=["tok"])
 
     rows = some.mapInArrow(run, "tok long").groupBy("tok").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "tok").limit(MAX_FREQUENT).select("tok")
-    return np.sort(np.array([r[0] for r in rows.collect()], dtype=np.int64).view(k.U64))
+    return np.sort(rows.toArrow()["tok"].to_numpy().view(k.U64))
 
 
 def node(id_col: str = "doc_id", text_col: str = "text") -> Column:
