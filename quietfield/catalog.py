@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from . import constants as C
 from .functions import containers as K
 from .functions import context, ocr, policy, provenance, redact, stego
-from .operators import datasets, metrics, models, vector
+from .operators import datasets, inject, metrics, models, vector
 from .oracles import SQL
-from .plans import simulate, views
+from .plans import analyse, simulate, views
 
+TREES = 350
 _registry: dict = {}
 
 
@@ -56,14 +57,9 @@ def caption_features(spark, sf):
     return simulate.items(spark, sf).select("doc_id", "caption", *_rounded(context.caption_features(F.col("caption"))))
 
 
-def _ascii(text: str = "text") -> Column:
-    """Text with every character outside ASCII turned into a space: engines differ on word bounds there."""
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\x00-\x7F]", " ")
-
-
 @query
 def conversation_caption_scores(spark, sf):
-    own = _table(spark, sf, "conversations").select("conv_id", "turn", _ascii().alias("caption"))
+    own = _table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("caption"))
     return own.select("conv_id", "turn", *_rounded(context.caption_features(F.col("caption"))))
 
 
@@ -139,7 +135,7 @@ def caption_redaction(spark, sf):
 
 @query
 def document_redaction(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.sha2(redact.redact_caption(_ascii()), 256).alias("safe_sha256"))
+    return _table(spark, sf, "documents").select("doc_id", F.sha2(redact.redact_caption(F.col("text")), 256).alias("safe_sha256"))
 
 
 def _verdict_rows(spark, sf):
@@ -245,7 +241,7 @@ def mixed_union(spark, sf):
 @query
 def global_serial(spark, sf):
     own = simulate.manifest(spark, sf).select("image_id", "split", "doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
-    return datasets.with_serial(own, ["split", "_h", "doc_id"], 8).select("image_id", F.col("serial").alias("global_serial"))
+    return datasets.with_serial(own, ["split", "_h", "doc_id"], [F.col("split"), F.substring("_h", 1, 2)]).select("image_id", F.col("serial").alias("global_serial"))
 
 
 def _truth(spark, sf) -> DataFrame:
@@ -463,11 +459,11 @@ def byte_entropy(spark, sf):
 
 @query
 def gps_decimal(spark, sf):
-    """Degrees, minutes and hundredths of seconds to signed degrees."""
+    """Degrees, minutes and hundredths of seconds, as EXIF has them, to signed degrees."""
     i = F.col("doc_id")
-    sign = F.when(i % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    value = (i % 90).cast("double") + (i % 60).cast("double") / 60.0 + ((i * 7) % 6000).cast("double") / 100.0 / 3600.0
-    return _table(spark, sf, "documents").select("doc_id", F.round(sign * value, 9).alias("latitude"))
+    parts = F.array(*[F.struct(n.alias("num"), F.lit(q).cast("long").alias("den")) for n, q in ((i % 90, 1), (i % 60, 1), ((i * 7) % 6000, 100))])
+    ref = F.when(i % 2 == 0, "N").otherwise("S")
+    return _table(spark, sf, "documents").select("doc_id", F.round(K.degrees_column(parts, ref), 9).alias("latitude"))
 
 
 @query
@@ -546,14 +542,63 @@ def injected_fields(spark, sf):
     return simulate.items(spark, sf).select("doc_id", *[v.alias(k) for k, v in datasets.metadata_fields().items()])
 
 
+def _specimens(spark, sf) -> DataFrame:
+    """The pictures of the mixed rows: every kind of evidence in each."""
+    @F.pandas_udf("binary")
+    def make(ids: pd.Series) -> pd.Series:
+        out = []
+        for i in ids:
+            rng = np.random.default_rng(int(i) + 7919)
+            out.append(inject.specimen(rng.integers(0, 256, (16, 16, 3), dtype=np.uint8), "PNG" if i % 5 == 0 else "JPEG", int(i), rng.bytes(200 + int(i) % 300)))
+        return pd.Series(out)
+
+    return datasets.mixed_rows(_table(spark, sf, "documents")).withColumn("content", make("doc_id")).withColumn("parts", F.lit("ABCE"))
+
+
+def _labelled(spark, sf) -> DataFrame:
+    """The vector of every picture with its split and label, the mixed rows as a split of their own."""
+    own = _files(spark, sf).select("doc_id", "image_id", "filename", "caption", "animal", "content", "parts")
+    mixed = _specimens(spark, sf)
+    names = ["image_id", "filename", "caption", "animal", "content"]
+    tokens = datasets.ocr_tokens(own.select("doc_id", "parts")).unionByName(datasets.ocr_tokens(mixed.select("doc_id", "parts"), "mixed_", 1))
+    vectors = vector.feature_vector(own.select(*names).unionByName(mixed.select(*names)), tokens)
+    truth = simulate.stratified_split(simulate.items(spark, sf)).select(F.concat(F.lit("img_"), F.col("doc_id").cast("string")).alias("image_id"), "split", "risk_label")
+    return vectors.join(truth.unionByName(mixed.select("image_id", "split", "risk_label")), "image_id")
+
+
+_fitted: dict = {}
+
+
+def _fit(spark, sf):
+    """(model, labelled vectors) of a folder of tables: fitted once a session, as a service keeps its predictor."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        rows = _labelled(spark, sf).cache()
+        _fitted[key] = (models.train(rows.where("split = 'train'"), C.FEATURES, trees=TREES), rows)
+    return _fitted[key]
+
+
 @query
 def gbt_train_eval(spark, sf):
-    """Trees on the tabular signals, measured per split.  10 of depth 3 on 15 columns here, not 350 of depth 5 on 47."""
-    names = [*C.METADATA_SCORE_FLAGS, "filename_leak_score", "caption_leak_score", "species_sensitivity", "lsb_variance_score", "trailing_byte_count_norm"]
-    own = simulate.stratified_split(simulate.bundle(spark, sf)).select("doc_id", "split", "risk_label", *[F.col(c).cast("double").alias(c) for c in names])
-    model = models.train(own.where("split = 'train'"), names, trees=10, depth=3)
-    scored = models.predict(model, own).withColumnRenamed("risk_label", "y")
-    return metrics.binary_metrics(scored, by=["split"])
+    """Trees of depth 5 on the 47 columns, measured per split and on the mixed rows."""
+    model, rows = _fit(spark, sf)
+    return models.evaluate(model, rows)
+
+
+@query
+def importance_topk(spark, sf):
+    """The ten columns that matter most to the model."""
+    top = models.importances(_fit(spark, sf)[0])[:10]
+    return spark.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(top)], "place int, column string, importance double")
+
+
+@query
+def analyse_with_model(spark, sf):
+    """Decision per item with the fitted model's probability."""
+    model, rows = _fit(spark, sf)
+    own = simulate.bundle(spark, sf).withColumn("image_id", F.concat(F.lit("img_"), F.col("doc_id").cast("string")))
+    out = analyse.analyse(rows, own, model)
+    return out.select("doc_id", "filename", "decision", *[F.round(c, 6).alias(c) for c in ("risk_score", "signal_score", "p")])
 
 
 @query

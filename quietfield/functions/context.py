@@ -84,7 +84,7 @@ def caption_features(caption: Column) -> dict[str, Column]:
     fragment = mentions(low, C.RESERVE_FRAGMENTS)
     distance = text.rlike(UNICODE + C.DISTANCE)
     hits = count_of(low, C.LOCATION_KEYWORDS)
-    pair = text.rlike(C.DECIMAL_PAIR)
+    pair = text.rlike("(?U)" + C.DECIMAL_PAIR)
     score = points(fragment, 0.40) + points(distance, 0.35) + F.least(hits * F.lit(0.12), F.lit(0.36)) + points(pair, 0.45)
     return {
         "caption_leak_score": F.least(score, F.lit(1.0)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -13,18 +13,15 @@ from ..plans.simulate import draw, pick
 def stratified_cap(df: DataFrame, max_rows: int, by: tuple = ("split", "feature_category"), key: str = "doc_id") -> DataFrame:
     """At most max_rows rows, the strata in proportion, one of each at least; rows with a null stratum go.
 
-    Rows are taken in order of a digest of the key.  Counts come first, so only a
-    stratum's wanted rows take part in the final ordering.
+    Rows are taken in order of a digest of the key, numbered without gathering a stratum;
+    only the rows wanted take part in the final ordering.
     """
-    own = df.dropna(subset=list(by))
-    counts = own.groupBy(*by).agg(F.count("*").alias("_n"))
-    total = own.agg(F.count("*").alias("_t"))
-    share = F.greatest(F.lit(1.0), F.rint(F.col("_n").cast("double") * F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("_t").cast("double"))))
-    wanted = counts.crossJoin(F.broadcast(total)).select(*by, share.alias("_want"))
     digest = F.md5(F.concat(F.lit("cap:"), F.col(key).cast("string")).cast("binary"))
-    ranked = own.withColumn("_d", digest).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_d", key)))
-    kept = ranked.join(F.broadcast(wanted), list(by)).where(F.col("_r") <= F.col("_want"))
-    return kept.orderBy("_d", key).limit(max_rows).drop("_d", "_r", "_want")
+    out = simulate.ranked(df.dropna(subset=list(by)), list(by), digest, key)
+    total = out.sparkSession.range(1).select(df.dropna(subset=list(by)).agg(F.count("*")).scalar().alias("_t"))
+    share = F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("_t").cast("double"))
+    kept = out.join(F.broadcast(total)).where(F.col("_rn") <= F.greatest(F.lit(1.0), F.rint(F.col("_n").cast("double") * share)))
+    return kept.withColumn("_d", digest).orderBy("_d", key).limit(max_rows).drop("_d", "_rn", "_n", "_t")
 
 
 def species_stats(df: DataFrame) -> DataFrame:
@@ -36,11 +33,11 @@ def category_distribution(df: DataFrame) -> DataFrame:
     return df.where("split <> 'mixed'").groupBy("feature_category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature_category")
 
 
-def mixed_rows(docs: DataFrame, every: int = 250) -> DataFrame:
-    """The all-evidence rows: every `every`-th document, species unknown, label 1."""
-    own = docs.where(F.col("doc_id") % every == 0).select("doc_id").withColumn("i", (F.col("doc_id") / every).cast("long") + 1)
-    own = own.withColumn("tag", simulate.leaky_tag()).withColumn("animal", F.lit("unknown"))
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The all-evidence rows, one for each row of docs: species unknown, label 1."""
+    own = docs.select("doc_id", (F.col("doc_id") + 1).alias("i")).withColumn("tag", simulate.leaky_tag()).withColumn("animal", F.lit("unknown"))
     return own.select(
+        "doc_id",
         F.concat(F.lit("mixed_"), F.col("i").cast("string")).alias("image_id"),
         "animal",
         F.lit("mixed").alias("split"),
@@ -52,31 +49,37 @@ def mixed_rows(docs: DataFrame, every: int = 250) -> DataFrame:
     )
 
 
-def with_serial(df: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+def with_serial(df: DataFrame, order: list[str], bucket: list[Column]) -> DataFrame:
     """serial = 1, 2, ... in the given order without gathering rows in one task.
 
-    Rows are range-partitioned and counted per partition; a row's number is the count
-    of the partitions before it and its place in its own.
+    bucket: coarse keys that follow the order (its leading columns, or the first digits of
+    a digest).  A row's number is its place in its bucket and the rows of those before.
     """
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()).persist()
-    sums = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sums.select("_p", before.alias("_b")))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_r", place).join(offsets, "_p").withColumn("serial", F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+    names = [f"_b{n}" for n in range(len(bucket))]
+    own = df.withColumns(dict(zip(names, bucket, strict=True)))
+    sums = own.groupBy(*names).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    out = own.withColumn("_r", place).join(sums.select(*names, before.alias("_before")), names)
+    return out.withColumn("serial", F.col("_before") + F.col("_r")).drop(*names, "_r", "_before")
 
 
-def metadata_fields() -> dict:
-    """A partial subset of injected fields: 1 to 4 of ten; altitude and time need a position."""
+def metadata_fields(full: bool = False) -> dict:
+    """The injected fields: all of them (full), or 1 to 4 of ten; altitude and time need a position."""
     names = ["gps", "altitude", "timestamp", "camera", "serial", "owner", "description", "keywords", "datetime", "thumbnail"]
+    if full:
+        return {n: F.lit(True) for n in names}
     digests = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(F.md5(F.concat(F.lit("field:"), n, F.col("doc_id").cast("string")).cast("binary")).alias("d"), n.alias("n")))
     chosen = F.transform(F.slice(F.array_sort(digests), F.lit(1), (draw("nfields", 4) + 1).cast("int")), lambda x: x["n"])
     return {n: F.array_contains(chosen, n) & (F.array_contains(chosen, "gps") if n in ("altitude", "timestamp") else F.lit(True)) for n in names}
 
 
-def ocr_tokens(items: DataFrame) -> DataFrame:
-    """Token rows for the items with text evidence: one to three stamps, read in three modes with small shifts."""
-    own = items.where(F.col("parts").contains("B")).select("doc_id", F.concat(F.lit("img_"), F.col("doc_id").cast("string")).alias("image_id"))
+def ocr_tokens(items: DataFrame, prefix: str = "img_", plus: int = 0) -> DataFrame:
+    """Token rows for the items with text evidence: one to three stamps, read in three modes with small shifts.
+
+    An image_id is prefix and doc_id plus `plus`.
+    """
+    own = items.where(F.col("parts").contains("B")).select("doc_id", F.concat(F.lit(prefix), (F.col("doc_id") + plus).cast("string")).alias("image_id"))
     stamps = F.transform(F.sequence(F.lit(0), draw("ntok", 3).cast("int")), lambda i: i)
     own = own.select("doc_id", "image_id", F.explode(stamps).alias("k"))
     salted = F.md5(F.concat(F.lit("tok:"), F.col("k").cast("string"), F.lit(":"), F.col("doc_id").cast("string")).cast("binary"))

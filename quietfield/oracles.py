@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import constants as C
-from .plans.simulate import ANIMALS, META_TYPES, MULTI
+from .plans.simulate import ANIMALS, BENIGN, META_TYPES, MULTI
 
 
 def q(text: str) -> str:
@@ -22,15 +22,14 @@ def num(salt: str, n: int) -> str:
     return f"CAST({d(salt, n)} + 1 AS VARCHAR)"
 
 
-TITLES = {r: r.title() for r in C.TAG_RESERVES}
 TITLE_ANIMAL = "CASE animal " + " ".join(f"WHEN {q(a)} THEN {q(a.title())}" for a in [*ANIMALS, "unknown"]) + " END"
 RESERVE_TITLE = pick([r.title() for r in C.TAG_RESERVES], "cres")
-TAG = f"""CASE WHEN {d('pat', 3)} = 0 THEN {pick(C.TAG_RESERVES, 'res')} || '_' || {pick(C.TAG_ZONE_WORDS, 'zw')} || {num('num', 9)}
-  WHEN {d('pat', 3)} = 1 THEN {pick(C.TAG_RESERVES, 'res')} || '_gate' || {num('gate', 6)}
-  ELSE {num('dist', 9)} || {pick(C.TAG_UNITS, 'unit')} || '_from_checkpoint' END"""
-CAPTION = f"""CASE WHEN {d('ctpl', 3)} = 0 THEN 'Spotted this ' || animal || ' ' || {num('cdist', 9)} || ' ' || {pick(C.TAG_UNITS, 'cunit')} || ' from the ' || {RESERVE_TITLE} || ' core zone checkpost'
-  WHEN {d('ctpl', 3)} = 1 THEN {TITLE_ANIMAL} || ' sighting near ' || {RESERVE_TITLE} || ' beat ' || {num('cbeat', 20)} || ' waterhole'
-  ELSE {TITLE_ANIMAL} || ' seen ' || {num('cdist', 9)} || ' ' || {pick(C.TAG_UNITS, 'cunit')} || ' from forest range outpost, ' || {RESERVE_TITLE} || ' sanctuary' END"""
+TAG = f"""CASE WHEN {d('pat', 3)} = 0 THEN {pick(C.TAG_ZONE_WORDS, 'zw')} || {num('num', 9)} || '_' || {pick(C.TAG_RESERVES, 'res')}
+  WHEN {d('pat', 3)} = 1 THEN 'outpost' || {num('gate', 6)} || '_' || {pick(C.TAG_RESERVES, 'res')}
+  ELSE {num('dist', 9)} || {pick(C.TAG_UNITS, 'unit')} || '_near_waterhole' END"""
+CAPTION = f"""CASE WHEN {d('ctpl', 3)} = 0 THEN 'At dawn a ' || animal || ' drank ' || {num('cdist', 9)} || ' ' || {pick(C.TAG_UNITS, 'cunit')} || ' from the ' || {RESERVE_TITLE} || ' salt lick'
+  WHEN {d('ctpl', 3)} = 1 THEN {TITLE_ANIMAL} || ' tracks by ' || {RESERVE_TITLE} || ' compartment ' || {num('cbeat', 20)}
+  ELSE 'Den of a ' || animal || ', ' || {num('cdist', 9)} || ' ' || {pick(C.TAG_UNITS, 'cunit')} || ' near the buffer zone of ' || {RESERVE_TITLE} END"""
 CUTS = dict(C.CATEGORY_CUTS)
 U = d("cat", 1000)
 SPECIES = "species_table(species, sensitivity) AS (VALUES " + ", ".join(f"({q(k)}, {v}::DOUBLE)" for k, v in C.SPECIES_SENSITIVITY.items()) + ")"
@@ -55,6 +54,17 @@ split_rows AS (SELECT *, {SPLIT} AS split FROM ranked),
 manifest AS (SELECT * EXCLUDE (n, rn), split || '_' || serial AS image_id FROM split_rows)"""
 
 
+BLANK = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+EDGE = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def unicode(pattern: str) -> str:
+    """A pattern whose digits, blanks and word bounds are those of all scripts; bounds stand only at its ends."""
+    out = pattern.replace(r"\d", r"\p{Nd}").replace(r"\s", BLANK)
+    begin, end = out.startswith(r"\b"), out.endswith(r"\b")
+    return (f"(^|{EDGE})" if begin else "") + out[2 * begin : len(out) - 2 * end] + (f"($|{EDGE})" if end else "")
+
+
 def any_of(text: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {q(w)})" for w in words) + ")"
 
@@ -89,9 +99,9 @@ def filename_sql(name: str = "filename") -> dict[str, str]:
 
 def caption_sql(text: str = "caption") -> dict[str, str]:
     low = f"lower({text})"
-    fragment, distance = any_of(low, C.RESERVE_FRAGMENTS), rx(text, C.DISTANCE)
+    fragment, distance = any_of(low, C.RESERVE_FRAGMENTS), rx(text, unicode(C.DISTANCE))
     hits = "(" + " + ".join(f"CAST(contains({low}, {q(w)}) AS INT)" for w in C.LOCATION_KEYWORDS) + ")"
-    pair = rx(text, C.DECIMAL_PAIR, "")
+    pair = rx(text, unicode(C.DECIMAL_PAIR), "")
     score = f"{pts(fragment, .4)} + {pts(distance, .35)} + least({hits} * 0.12::DOUBLE, 0.36::DOUBLE) + {pts(pair, .45)}"
     return {
         "caption_leak_score": f"least({score}, 1.0::DOUBLE)",
@@ -144,15 +154,14 @@ UNPIVOT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS category, {level(v, k)} A
 
 
 def redact(text: str) -> str:
-    out = f"regexp_replace({text}, {q(C.DISTANCE)}, '[REDACTED DISTANCE] ', 'gi')"
+    out = f"regexp_replace({text}, {q(unicode(C.DISTANCE))}, '[REDACTED DISTANCE] ', 'gi')"
     for w in C.RESERVE_FRAGMENTS:
         out = f"regexp_replace({out}, {q(w)}, '[REDACTED LOCATION]', 'gi')"
     for w in C.LOCATION_KEYWORDS:
         out = f"regexp_replace({out}, {q(w)}, '[REDACTED]', 'gi')"
-    return f"regexp_replace(regexp_replace({out}, '^\\s+', ''), '\\s+$', '')"
+    return f"regexp_replace(regexp_replace({out}, {q('^' + BLANK + '+')}, ''), {q(BLANK + '+$')}, '')"
 
 
-ASCII_TEXT = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', ' ', 'g')"
 FACTORS = [
     ("has_gps", "'GPS_EXIF'"), ("has_gps_altitude OR has_gps_timestamp", "'GPS_DETAIL'"), ("has_camera_make OR has_camera_model", "'CAMERA'"),
     ("has_serial_number", "'SERIAL'"), ("has_owner_name", "'OWNER'"), ("description_contains_location OR keywords_contain_location", "'METADATA_WORDING'"),
@@ -185,6 +194,22 @@ tokens AS (SELECT image_id, psm_order, k * 10 + j AS seq, CASE WHEN psm_order =
 deduped AS (SELECT * FROM tokens QUALIFY row_number() OVER (PARTITION BY image_id, lower(text), x // 10, y // 10 ORDER BY psm_order, seq) = 1),
 read_text AS (SELECT image_id, string_agg(text, ' ' ORDER BY psm_order, seq) AS raw_text, count(*) AS num_text_boxes,
   coalesce(avg(CASE WHEN conf >= 0 THEN conf END), 0.0::DOUBLE) AS mean_confidence FROM deduped GROUP BY image_id)"""
+PLAIN = lambda w: f"lower(regexp_replace({w}, {q('^[.,' + chr(34) + chr(39) + ']+|[.,' + chr(34) + chr(39) + ']+$')}, '', 'g'))"
+HITS = "hit_rows AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY l, k) - 1 AS ord, label, text FROM (" + " UNION ALL ".join(
+    f"SELECT image_id, {n} AS l, '{name}' AS label, unnest(regexp_extract_all(raw_text, {q('(?i)' + p)})) AS text, generate_subscripts(regexp_extract_all(raw_text, {q('(?i)' + p)}), 1) AS k FROM read_text"
+    for n, (name, p) in enumerate(C.OCR_LABELS)) + "))"
+BOXES = f"""{TOKENS}, {HITS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY psm_order, seq) AS i, {PLAIN('text')} AS plain FROM deduped),
+aims AS (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS parts FROM hit_rows),
+wanted AS (SELECT * EXCLUDE (parts), len(parts) AS size, array_to_string(list_transform(parts, lambda w: {PLAIN('w')}), '') AS target FROM aims),
+runs AS (
+  SELECT a.image_id, a.ord, s.i AS first, string_agg(t.plain, '' ORDER BY t.i) AS plain, min(t.x) AS x, min(t.y) AS y, max(t.x + t.w) AS r, max(t.y + t.h) AS b, count(*) AS n
+  FROM wanted a JOIN placed s ON s.image_id = a.image_id JOIN placed t ON t.image_id = a.image_id AND t.i BETWEEN s.i AND s.i + a.size - 1 GROUP BY ALL),
+fitting AS (SELECT runs.* FROM runs JOIN wanted USING (image_id, ord) WHERE n = size AND target <> '' AND (contains(plain, target) OR contains(target, plain))
+  QUALIFY row_number() OVER (PARTITION BY image_id, ord ORDER BY first) = 1),
+boxes AS (SELECT w.image_id, w.ord, w.label, w.text, coalesce(x, 0)::INT AS x, coalesce(y, 0)::INT AS y, coalesce(r - x, 0)::INT AS w, coalesce(b - y, 0)::INT AS h
+  FROM wanted w LEFT JOIN fitting USING (image_id, ord))"""
+FIELDS = ["gps", "altitude", "timestamp", "camera", "serial", "owner", "description", "keywords", "datetime", "thumbnail"]
 BYTES = "bytes AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor((v::DOUBLE + 1.0::DOUBLE) * 128.0::DOUBLE) AS BIGINT)) AS v FROM embeddings)"
 BITS = f"{BYTES}, bits AS (SELECT vec_id, generate_subscripts(v, 1) - 1 AS pos, unnest(v) & 1 AS bit FROM bytes)"
 PLANE = f"""{BITS},
@@ -203,7 +228,7 @@ SQL: dict[str, str] = {
     "decision_counts": f"WITH {SCORED} SELECT decision, feature_category, count(*) AS n, round(avg(risk_score), 6) AS avg_risk FROM scored GROUP BY ALL",
     "filename_features": f"WITH {ITEMS} SELECT doc_id, filename, {cols({k: (f'round({v}, 6)' if 'score' in k else v) for k, v in filename_sql().items()})}, length({stem('filename')}) AS filename_length FROM items",
     "caption_features": f"WITH {ITEMS} SELECT doc_id, caption, {cols({k: (f'round({v}, 6)' if 'score' in k else v) for k, v in caption_sql().items()})} FROM items",
-    "conversation_caption_scores": f"WITH c AS (SELECT conv_id, turn, {ASCII_TEXT} AS caption FROM conversations) SELECT conv_id, turn, {cols({k: (f'round({v}, 6)' if 'score' in k else v) for k, v in caption_sql().items()})} FROM c",
+    "conversation_caption_scores": f"WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS caption FROM conversations) SELECT conv_id, turn, {cols({k: (f'round({v}, 6)' if 'score' in k else v) for k, v in caption_sql().items()})} FROM c",
     "page_filename_features": f"WITH f AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') AS filename FROM pages) SELECT page_id, {cols({k: (f'round({v}, 6)' if 'score' in k else v) for k, v in filename_sql().items()})} FROM f",
     "filename_entropy": f"WITH {ITEMS}, c AS (SELECT doc_id, unnest(string_split({stem('filename')}, '')) AS ch FROM items) SELECT doc_id, round(least(entropy(ch) / 4.5::DOUBLE, 1.0::DOUBLE), 6) AS filename_entropy_norm FROM c GROUP BY doc_id",
     "text_char_entropy": "WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch FROM benchmark WHERE text <> '') SELECT item_id, round(entropy(ch), 6) AS entropy FROM c GROUP BY item_id",
@@ -215,7 +240,7 @@ SQL: dict[str, str] = {
     "keyword_semi_join": "WITH kw(word) AS (VALUES " + ", ".join(f"({q(w)})" for w in C.LOCATION_KEYWORDS) + ") SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM kw WHERE contains(lower(text), word))",
     "keyword_document_frequency": "WITH kw(word) AS (VALUES " + ", ".join(f"({q(w)})" for w in C.LOCATION_KEYWORDS) + ") SELECT word, count(*) AS n_docs FROM kw JOIN documents ON contains(lower(text), word) GROUP BY word",
     "caption_redaction": f"WITH {ITEMS} SELECT doc_id, {redact('caption')} AS safe_caption FROM items",
-    "document_redaction": f"SELECT doc_id, sha256({redact(ASCII_TEXT)}) AS safe_sha256 FROM documents",
+    "document_redaction": f"SELECT doc_id, sha256({redact("coalesce(text, '')")}) AS safe_sha256 FROM documents",
     "category_verdicts_unpivot": f"WITH {SCORED} {UNPIVOT}",
     "category_level_counts": f"WITH {SCORED}, v AS ({UNPIVOT}) SELECT category, level, count(*) AS n, round(sum(score), 4) AS total FROM v GROUP BY ALL",
     "risk_score_components": f"WITH {SCORED} SELECT doc_id, {cols({k + '_score': f'round({v}, 6)' for k, v in SCORES.items()})}, round(blended_score, 6) AS blended_score FROM scored",
@@ -235,11 +260,11 @@ SQL: dict[str, str] = {
     "category_distribution": f"WITH {ITEMS} SELECT feature_category, count(*) AS n FROM items GROUP BY feature_category",
     "draw_category": f"WITH {ITEMS} SELECT doc_id, animal, feature_category, ext FROM items",
     "leaky_caption_gen": f"WITH {ITEMS} SELECT doc_id, {CAPTION} AS caption FROM items",
-    "benign_caption_gen": f"WITH {ITEMS} SELECT doc_id, CASE {d('btpl', 5)} WHEN 0 THEN 'Beautiful morning in the forest' WHEN 1 THEN 'Amazing wildlife encounter today' WHEN 2 THEN 'Captured this shot on a recent trip' WHEN 3 THEN 'Nature is incredible' ELSE 'Lovely ' || animal || ' photo' END AS caption FROM items",
-    "leaky_filename_gen": f"""WITH {ITEMS} SELECT doc_id, animal || '_' || {pick(C.TAG_RESERVES, 'fres')} || '_' || (CASE WHEN {d('fpat', 3)} = 0 THEN {pick(C.TAG_ZONE_WORDS, 'fzw')} || {num('fnum', 9)}
-        WHEN {d('fpat', 3)} = 1 THEN 'gate' || {num('fgate', 6)} ELSE {num('fdist', 9)} || {pick(C.TAG_UNITS, 'funit')} || '_from_checkpoint' END) || '_' || serial || '.' || ext AS leaky,
+    "benign_caption_gen": f"WITH {ITEMS} SELECT doc_id, CASE {d('btpl', 5)} {' '.join(f'WHEN {i} THEN {q(t)}' for i, t in enumerate(BENIGN))} ELSE 'A ' || animal || ', as it was' END AS caption FROM items",
+    "leaky_filename_gen": f"""WITH {ITEMS} SELECT doc_id, {pick(C.TAG_RESERVES, 'fres')} || '_' || (CASE WHEN {d('fpat', 3)} = 0 THEN {pick(C.TAG_ZONE_WORDS, 'fzw')} || {num('fnum', 9)}
+        WHEN {d('fpat', 3)} = 1 THEN 'grid' || {num('fgate', 6)} ELSE {num('fdist', 9)} || {pick(C.TAG_UNITS, 'funit')} || '_near_camp' END) || '_' || animal || '_' || serial || '.' || ext AS leaky,
         {pick(C.BENIGN_PREFIXES, 'bpre')} || '_' || ({d('bnum', 9000)} + 1000) || '_' || serial || '.' || ext AS benign FROM items""",
-    "mixed_union": f"""WITH {MANIFEST}, m0 AS (SELECT doc_id, doc_id // 250 + 1 AS i, 'unknown' AS animal FROM documents WHERE doc_id % 250 = 0),
+    "mixed_union": f"""WITH {MANIFEST}, m0 AS (SELECT doc_id, doc_id + 1 AS i, 'unknown' AS animal FROM documents),
         m1 AS (SELECT *, {TAG} AS tag, {CAPTION} AS caption FROM m0)
         SELECT image_id, animal, split, feature_category, feature_type, filename, caption, risk_label FROM manifest UNION ALL
         SELECT 'mixed_' || i, animal, 'mixed', 'mixed_all', 'all_' || tag, 'mixed_' || i || '_all_' || tag || '.jpg', caption, 1 FROM m1""",
@@ -274,5 +299,10 @@ SQL: dict[str, str] = {
     "allowed_files": f"WITH {ITEMS} SELECT doc_id, lower(list_extract(string_split(f, '.'), -1)) IN ('jpg', 'jpeg', 'png') AND contains(f, '.') AS allowed FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN filename WHEN 1 THEN upper(filename) WHEN 2 THEN filename || '.gif' ELSE replace(filename, '.', '') END AS f FROM items)",
     "event_json_keys": "WITH k AS (SELECT event_type, unnest(json_keys(props)) AS key FROM events WHERE props IS NOT NULL) SELECT event_type, key, count(*) AS n FROM k GROUP BY ALL",
     "analysis_view": f"WITH {SCORED} SELECT doc_id, decision, round(risk_score / 100.0::DOUBLE, 8) AS ring, {" || ',' || ".join(f"'{k}=' || {level(v, k)}" for k, v in SCORES.items())} AS grid, array_to_string(list_filter([{', '.join(f'CASE WHEN {a} THEN {b} END' for a, b in FACTORS)}], lambda x: x IS NOT NULL), '|') AS factors, decision IN ('SANITIZE', 'QUARANTINE') AS sanitize_now, decision = 'REVIEW' AS ask FROM scored",
+    "ocr_bbox": f"WITH {BOXES} SELECT image_id, ord, label, text, [x, y, w, h] AS bbox FROM boxes",
+    "ocr_redaction_boxes": f"WITH {BOXES} SELECT image_id, ord, greatest(0, x - 6) AS x0, greatest(0, y - 6) AS y0, least(640, x + w + 6) AS x1, least(480, y + h + 6) AS y1, greatest(10, least(w, h) // 2) AS radius FROM boxes WHERE w > 0 AND h > 0 AND least(640, x + w + 6) > greatest(0, x - 6) AND least(480, y + h + 6) > greatest(0, y - 6)",
+    "exif_gps_decode": f"WITH {ITEMS} SELECT doc_id, true AS has_gps, round(12.0::DOUBLE + 58.0::DOUBLE / 60.0::DOUBLE + 17.76::DOUBLE / 3600.0::DOUBLE, 6) AS lat, round(77.0::DOUBLE + 35.0::DOUBLE / 60.0::DOUBLE + 40.56::DOUBLE / 3600.0::DOUBLE, 6) AS lon, 2 AS gps_field_count FROM items WHERE contains(parts, 'A')",
+    "injected_fields": f"WITH c AS (SELECT doc_id, list_transform(list_slice(list_sort(list_transform([{', '.join(map(q, FIELDS))}], lambda n: md5('field:' || n || doc_id) || n)), 1, {d('nfields', 4)} + 1), lambda x: substr(x, 33)) AS f FROM documents) SELECT doc_id, "
+    + ", ".join(f"list_contains(f, '{n}')" + (" AND list_contains(f, 'gps')" if n in ("altitude", "timestamp") else "") + f" AS {n}" for n in FIELDS) + " FROM c",
     "upload_limit": "SELECT count(*) FILTER (WHERE octet_length(encode(text)) <= 26214400) AS accepted, count(*) FILTER (WHERE octet_length(encode(text)) > 26214400) AS rejected FROM documents",
 }

@@ -18,6 +18,7 @@ ANIMALS = [
     "eagle", "owl", "shark", "otter", "pangolin", "koala", "monkey", "quokka",
 ]
 MULTI = ["A_B", "A_C", "A_E", "B_C", "B_E", "C_E", "A_B_C", "A_B_E", "A_C_E", "B_C_E"]
+BENIGN = ["Grass and wind, nothing else", "One more afternoon outdoors", "First try with a longer lens", "Quiet light over the hills"]
 META_TYPES = ["locationcoordinates", "camera_metadata", "device_metadata", "iptc_metadata", "metadata"]
 
 
@@ -57,58 +58,74 @@ def draw_category(u: Column, sensitivity: Column) -> Column:
 
 
 def leaky_tag() -> Column:
-    pattern = draw("pat", 3)
+    which = draw("pat", 3)
     number = lambda salt, n: (draw(salt, n) + 1).cast("string")
     reserve = pick(C.TAG_RESERVES, "res")
     return (
-        F.when(pattern == 0, F.concat(reserve, F.lit("_"), pick(C.TAG_ZONE_WORDS, "zw"), number("num", 9)))
-        .when(pattern == 1, F.concat(reserve, F.lit("_gate"), number("gate", 6)))
-        .otherwise(F.concat(number("dist", 9), pick(C.TAG_UNITS, "unit"), F.lit("_from_checkpoint")))
+        F.when(which == 0, F.concat(pick(C.TAG_ZONE_WORDS, "zw"), number("num", 9), F.lit("_"), reserve))
+        .when(which == 1, F.concat(F.lit("outpost"), number("gate", 6), F.lit("_"), reserve))
+        .otherwise(F.concat(number("dist", 9), pick(C.TAG_UNITS, "unit"), F.lit("_near_waterhole")))
     )
 
 
 def leaky_caption(species: Column) -> Column:
-    reserve = F.initcap(pick(C.TAG_RESERVES, "cres"))
-    distance, unit, title = (draw("cdist", 9) + 1).cast("string"), pick(C.TAG_UNITS, "cunit"), F.initcap(species)
+    reserve, n, unit = F.initcap(pick(C.TAG_RESERVES, "cres")), (draw("cdist", 9) + 1).cast("string"), pick(C.TAG_UNITS, "cunit")
     which = draw("ctpl", 3)
     return (
-        F.when(which == 0, F.concat(F.lit("Spotted this "), species, F.lit(" "), distance, F.lit(" "), unit, F.lit(" from the "), reserve, F.lit(" core zone checkpost")))
-        .when(which == 1, F.concat(title, F.lit(" sighting near "), reserve, F.lit(" beat "), (draw("cbeat", 20) + 1).cast("string"), F.lit(" waterhole")))
-        .otherwise(F.concat(title, F.lit(" seen "), distance, F.lit(" "), unit, F.lit(" from forest range outpost, "), reserve, F.lit(" sanctuary")))
+        F.when(which == 0, F.concat(F.lit("At dawn a "), species, F.lit(" drank "), n, F.lit(" "), unit, F.lit(" from the "), reserve, F.lit(" salt lick")))
+        .when(which == 1, F.concat(F.initcap(species), F.lit(" tracks by "), reserve, F.lit(" compartment "), (draw("cbeat", 20) + 1).cast("string")))
+        .otherwise(F.concat(F.lit("Den of a "), species, F.lit(", "), n, F.lit(" "), unit, F.lit(" near the buffer zone of "), reserve))
     )
 
 
 def benign_caption(species: Column) -> Column:
     which = draw("btpl", 5)
-    plain = ["Beautiful morning in the forest", "Amazing wildlife encounter today", "Captured this shot on a recent trip", "Nature is incredible"]
-    out = F.concat(F.lit("Lovely "), species, F.lit(" photo"))
-    for i, text in enumerate(plain):
+    out = F.concat(F.lit("A "), species, F.lit(", as it was"))
+    for i, text in enumerate(BENIGN):
         out = F.when(which == i, F.lit(text)).otherwise(out)
     return out
 
 
 def leaky_filename(species: Column, serial: Column, ext: Column) -> Column:
-    pattern = draw("fpat", 3)
+    which = draw("fpat", 3)
     number = lambda salt, n: (draw(salt, n) + 1).cast("string")
     tag = (
-        F.when(pattern == 0, F.concat(pick(C.TAG_ZONE_WORDS, "fzw"), number("fnum", 9)))
-        .when(pattern == 1, F.concat(F.lit("gate"), number("fgate", 6)))
-        .otherwise(F.concat(number("fdist", 9), pick(C.TAG_UNITS, "funit"), F.lit("_from_checkpoint")))
+        F.when(which == 0, F.concat(pick(C.TAG_ZONE_WORDS, "fzw"), number("fnum", 9)))
+        .when(which == 1, F.concat(F.lit("grid"), number("fgate", 6)))
+        .otherwise(F.concat(number("fdist", 9), pick(C.TAG_UNITS, "funit"), F.lit("_near_camp")))
     )
-    return F.concat_ws("_", species, pick(C.TAG_RESERVES, "fres"), tag, F.concat(serial.cast("string"), F.lit("."), ext))
+    return F.concat_ws("_", pick(C.TAG_RESERVES, "fres"), tag, species, F.concat(serial.cast("string"), F.lit("."), ext))
 
 
 def benign_filename(serial: Column, ext: Column) -> Column:
     return F.concat(pick(C.BENIGN_PREFIXES, "bpre"), F.lit("_"), (draw("bnum", 9000) + 1000).cast("string"), F.lit("_"), serial.cast("string"), F.lit("."), ext)
 
 
+def ranked(df: DataFrame, by: list[str], digest: Column, key: str = "doc_id") -> DataFrame:
+    """Adds _rn, the place of each row of its stratum in order of a hex digest, then key, and _n, the stratum's rows.
+
+    No stratum is gathered: rows are numbered within buckets of the digest's first two
+    digits, and the rows of the buckets before are added.
+    """
+    own = df.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, 2))
+    counts = own.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(by)], F.col("_b").alias("_kb"), before.alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d", key))
+    out = own.withColumn("_r", place)
+    same = F.col("_b") == F.col("_kb")
+    for n, c in enumerate(by):
+        same = same & out[c].eqNullSafe(F.col(f"_k{n}"))
+    return out.join(counts, same).withColumn("_rn", F.col("_r") + F.col("_before")).drop("_d", "_b", "_r", "_before", "_kb", *[f"_k{n}" for n in range(len(by))])
+
+
 def stratified_split(df: DataFrame, by: str = "animal", key: str = "doc_id", ratios: dict = C.SPLIT_RATIOS) -> DataFrame:
     """Adds split: per stratum, in order of a digest of the key, the shares round half to even; the rest is test."""
-    order = Window.partitionBy(by).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(by)).cast("double")
-    rn = F.row_number().over(order)
+    out = ranked(df, [by], F.md5(F.col(key).cast("string").cast("binary")), key)
+    n = F.col("_n").cast("double")
     train, val = F.rint(n * F.lit(ratios["train"])), F.rint(n * F.lit(ratios["validate"]))
-    return df.withColumn("split", F.when(rn <= train, "train").when(rn <= train + val, "validate").otherwise("test"))
+    return out.withColumn("split", F.when(F.col("_rn") <= train, "train").when(F.col("_rn") <= train + val, "validate").otherwise("test")).drop("_rn", "_n")
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -61,6 +61,18 @@ def manifest(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     return df.na.fill("", ["caption"])
 
 
+def with_files(rows: DataFrame, files: DataFrame, path: str = "new_path") -> tuple[DataFrame, DataFrame]:
+    """Manifest rows with format and content of their file, and, apart, the rows without a usable one and why.
+
+    Paths meet without their scheme.  A row's error is MISSING, EMPTY or FORMAT.
+    """
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    own = checked(files).select(bare(F.col("path")).alias("_path"), "content", "format", "error")
+    both = rows.withColumn("_path", bare(F.col(path))).join(own, "_path", "left")
+    both = both.withColumn("error", F.when(F.col("format").isNull(), F.coalesce("error", F.lit("MISSING"))))
+    return both.where("error is null").drop("_path", "error"), both.where("error is not null").select(*rows.columns, "error")
+
+
 def species_table(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of species and sensitivity as rows."""
     text = spark.read.text(path, wholetext=True)

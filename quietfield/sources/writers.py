@@ -39,3 +39,26 @@ def write_files(df: DataFrame, root: str, name: str = "name", content: str = "co
             yield pd.DataFrame({"name": pdf["name"], "bytes": sizes})
 
     return df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, "name string, bytes long")
+
+
+def relocate(df: DataFrame, root: str, source: str = "path", name: str = "name") -> DataFrame:
+    """Move each file to root/name, from the tasks; gives name and whether it was moved.
+
+    Both places must be mounted everywhere.  A file that is gone already, as when a task
+    runs twice, counts as moved if it stands at its new place.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            done = []
+            for at, n in zip(pdf["source"], pdf["name"], strict=True):
+                old, new = at.removeprefix("file:").replace("//", "/"), os.path.join(root, *[p for p in n.split("/") if p not in ("", "..")])
+                os.makedirs(os.path.dirname(new), exist_ok=True)
+                try:
+                    os.replace(old, new)
+                except OSError:
+                    pass
+                done.append(os.path.exists(new) and not os.path.exists(old))
+            yield pd.DataFrame({"name": pdf["name"], "moved": done})
+
+    return df.select(F.col(source).alias("source"), F.col(name).alias("name")).mapInPandas(run, "name string, moved boolean")

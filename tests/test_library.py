@@ -69,7 +69,7 @@ def test_split_cap_serial(spark):
     capped = datasets.stratified_cap(out.withColumn("feature_category", F.col("animal")), 40)
     assert 38 <= capped.count() <= 40
     assert datasets.stratified_cap(out.withColumn("feature_category", F.col("animal")), 1000).count() == 200
-    serial = [r.serial for r in datasets.with_serial(out, ["split", "doc_id"], 5).orderBy("split", "doc_id").collect()]
+    serial = [r.serial for r in datasets.with_serial(out, ["split", "doc_id"], [F.col("split"), F.floor(F.col("doc_id") / 20)]).orderBy("split", "doc_id").collect()]
     assert serial == list(range(1, 201))
 
 
@@ -148,12 +148,12 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["analyse_decisions", "strong_evidence_override", "flagged_factors", "stratified_cap", "mixed_union", "caption_redaction", "ocr_hits", "lsb_score", "verify_status", "tamper_detection", "roc_auc"])
+@pytest.mark.parametrize("name", ["analyse_decisions", "strong_evidence_override", "flagged_factors", "stratified_cap", "mixed_union", "caption_redaction", "ocr_hits", "lsb_score", "verify_status", "tamper_detection", "roc_auc", "document_redaction", "conversation_caption_scores", "global_serial", "stratified_split", "gps_decimal", "ocr_bbox", "ocr_redaction_boxes", "exif_gps_decode", "injected_fields"])
 def test_queries_match_sql(spark, name):
     from quietfield import catalog
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "embeddings"):
+    for t in ("documents", "labels", "benchmark", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(catalog.oracle_sql()[name])
     got = catalog.queries()[name](spark, SF).select(*want.columns)
