@@ -38,10 +38,11 @@ from .runtime import table
 
 LENGTH = 100
 ANCHOR = 32
-BUCKET_BYTES = 8 << 20  # suffix bytes of a bucket, on average
-MAX_BUCKETS = 1 << 16  # bounds the splitters: 16 MB at most are sent to the tasks
+BUCKET_BYTES = 4 << 20  # suffix bytes of a bucket, on average
+SLICE = 1 << 18  # windows sorted at once
+MAX_BUCKETS = 1 << 17  # bounds the splitters: 32 MB at most are sent to the tasks
 SAMPLE = 32  # suffixes sampled for each bucket
-BLOCK_BYTES = 32 << 20  # suffix bytes settled at once before they leave a task
+BLOCK_BYTES = 12 << 20  # suffix bytes settled at once before they leave a task
 
 RUN = "doc long, sig long, pos long, width int"
 
@@ -233,26 +234,39 @@ def _bucket(L: int, K: int, splitters):
         if not len(rim):
             return
         own, group, across = order[rim], group[rim], across[rim]
-        at = k.spread(width[own], begin[own])
-        item = np.repeat(np.arange(len(own)), width[own])
-        p = k.spread(width[own], pos[own])
-        shift = (off[own] + begin[own])[item] - at
-        d, g = doc[own][item], sig[own][item]
-        rank = np.lexsort((p, g, d))
-        at, item, p, shift, d, g = (x[rank] for x in (at, item, p, shift, d, g))
-        again, by, first = _windows(raw, at, [(group[item] * 256 + shift).astype(k.U64)], L, d, g, p)
-        yield _merged(d, g, p, again)
-        out = by[first]
-        out = out[across[item[out]]]
-        for s in range(0, len(out), 1 << 17):
-            o = out[s : s + (1 << 17)]
-            data = raw[k.spread(np.full(len(o), L), at[o])]
-            ends = np.arange(len(o) + 1, dtype=np.int32) * L
-            yield _runs(d[o], g[o], p[o], np.ones(len(o), np.int64), pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+        for s in _slices(group, width[own]):
+            # rows are in order of document and place, so windows of ascending rows are too
+            rank = np.argsort(own[s], kind="stable")
+            row, which, edge = own[s][rank], group[s][rank], across[s][rank]
+            at = k.spread(width[row], begin[row])
+            item = np.repeat(np.arange(len(row)), width[row])
+            p = k.spread(width[row], pos[row])
+            shift = (off[row] + begin[row])[item] - at
+            d, g = doc[row][item], sig[row][item]
+            again, by, first = _windows(raw, at, [(which[item] * 256 + shift).astype(k.U64)], L, d, g, p)
+            yield _merged(d, g, p, again)
+            o = by[first]
+            o = o[edge[item[o]]]
+            if len(o):
+                data = raw[k.spread(np.full(len(o), L), at[o])]
+                ends = np.arange(len(o) + 1, dtype=np.int32) * L
+                yield _runs(d[o], g[o], p[o], np.ones(len(o), np.int64), pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
 
     return run
 
 
+def _slices(group: np.ndarray, width: np.ndarray) -> Iterator[slice]:
+    """Ranges of rows of about SLICE windows that part no group."""
+    total = np.cumsum(width)
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+    start = done = 0
+    while start < len(group):
+        past = int(np.searchsorted(total[ends - 1], done + SLICE, side="right"))
+        stop = int(ends[max(past - 1, int(np.searchsorted(ends, start, side="right")))])
+        yield slice(start, stop)
+        start, done = stop, int(total[stop - 1])
+
+
 def _split_anchors(some: Suffixes, heads: np.ndarray, parts: np.ndarray, K: int) -> np.ndarray:
     """Which anchors (one suffix each in heads) some splitter begins with."""
     out = np.zeros(len(heads), dtype=bool)
