@@ -38,9 +38,9 @@ from .runtime import table
 
 LENGTH = 100
 ANCHOR = 32
-BUCKET_BYTES = 4 << 20  # suffix bytes of a bucket, on average
+BUCKET_BYTES = 24 << 20  # suffix bytes of a bucket, on average
 SLICE = 1 << 18  # windows sorted at once
-MAX_BUCKETS = 1 << 17  # bounds the splitters: 32 MB at most are sent to the tasks
+MAX_BUCKETS = 1 << 16  # bounds the splitters: 16 MB at most are sent to the tasks
 SAMPLE = 32  # suffixes sampled for each bucket
 BLOCK_BYTES = 12 << 20  # suffix bytes settled at once before they leave a task
 
