@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as k
 from .repeats import gather
-from .runtime import table
+from .runtime import named, table
 
 WINDOW = 13
 COVERAGE = 20  # contaminated when COVERAGE * n_hit >= n_words
@@ -342,7 +342,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without contaminated documents; words hit in the others are cut from text, its length in n_chars."""
     names = docs.columns
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).alias(f"_c{n}") for n, c in enumerate(names) if c != "text"])
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[named(c).alias(f"_c{n}") for n, c in enumerate(names) if c != "text"])
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:]]
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, cut_text string, text string"
     run = _match(Benchmark(benchmark, window), True)

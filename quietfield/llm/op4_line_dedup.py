@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as k
 from .repeats import LIMITS, NULL_ID, Limits, cover_lists, covered, gather, keyed, line_bounds, line_symbols, pieces, settle, signature, tasks
-from .runtime import table
+from .runtime import named, table
 
 LINES = 3
 
@@ -123,7 +123,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     names = docs.columns
     base = keyed(docs)
     windows = repeated_lines(base)
-    carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"), signature().alias("sig"), *[F.col(c).alias(f"_c{n}") for n, c in enumerate(names) if c != "text"])
+    carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"), signature().alias("sig"), *[named(c).alias(f"_c{n}") for n, c in enumerate(names) if c != "text"])
     rows = covered(carried, windows, *[c for c in carried.columns if c.startswith("_c")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

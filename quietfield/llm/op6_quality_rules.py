@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .runtime import table
+from .runtime import named, table
 
 MIN_WORDS = 50
 RISK = 0.02  # share of good documents that may be rejected, per stratum, all rules together
@@ -141,7 +141,7 @@ def _values() -> dict:
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", keep_columns: bool = False) -> DataFrame:
-    """Per document the counts, base_failed and kept; with keep_columns every column of docs and `kept` as _kept.
+    """Per document the counts, base_failed and kept; with keep_columns the rows of docs that are kept, as they are.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated
     three-word windows.  kept is false if base_failed or if a rule's value is above its
@@ -156,7 +156,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     names = docs.columns if keep_columns else []
     plain = [F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("_stratum")]
-    shape = docs.select(*plain, *[F.col(c).alias(f"_c{n}") for n, c in enumerate(names)])
+    shape = docs.select(*plain, *[named(c).alias(f"_c{n}") for n, c in enumerate(names)])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema.fields[1:]] + [f"{c} long" for c in COUNTS])
     counted = table(shape.mapInArrow(_count, schema), "counts")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -174,7 +174,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             verdict = verdict | F.coalesce(value > F.element_at(limit, F.col("_stratum")), F.lit(False))
     kept = ~(base | verdict)
     if keep_columns:
-        return counted.select(*[F.col(f"_c{n}").alias(c) for n, c in enumerate(names)], kept.alias("_kept"))
+        return counted.where(kept).select(*[F.col(f"_c{n}").alias(c) for n, c in enumerate(names)])
     return counted.select(F.col("_id").alias("doc_id"), *COUNTS[:5], base.alias("base_failed"), kept.alias("kept"))
 
 

@@ -115,3 +115,20 @@ def test_near_duplicates_without_or_with_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path))
     assert rows(got) == sorted([(i, t, "en", "s1", 9) for i, t in keep], key=str)
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns with names of the operators' own, with dots and of map type go through every stage unharmed."""
+    make(tmp_path, spark)
+    sf = str(tmp_path)
+    F = corpus_pipeline.F
+    own = ["_kept", "_row", "_node", "_tie", "_c0", "cover", "sig", "doc", "node", "size", "a.b", "n_words", "cut_text"]
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own], F.create_map(F.lit("k"), F.col("doc_id")).alias("labels"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, docs = (corpus_pipeline.table(stage(spark, d, sf), "t") for d in (plain, docs))
+        assert docs.columns == [*plain.columns, *own, "labels"], name
+        assert rows(docs.select(*plain.columns)) == rows(plain), name
+        for r in docs.collect():
+            assert r["_row"] == (None if r.doc_id is None else f"_row{r.doc_id}") and r["a.b"] == (None if r.doc_id is None else f"a.b{r.doc_id}") and r.labels == {"k": r.doc_id}
+    assert corpus_pipeline.source_mix(spark, docs, sf).count() == corpus_pipeline.source_mix(spark, plain, sf).count()
