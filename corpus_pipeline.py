@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.llm import op2_ngram_jaccard, op4_line_dedup, op6_quality_rules, op8_source_mix, op10_decontamination
-from quietfield.llm.runtime import table
+from quietfield.llm.runtime import named, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a risk-controlled cutoff go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return op6_quality_rules.quality(docs, labels, keep_columns=True).where("_kept").drop("_kept")
+    return op6_quality_rules.quality(docs, labels, keep_columns=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     heads = op2_ngram_jaccard.jaccard_nodes(docs).where("node = low_node").select(F.col("node").alias("_head")).distinct()
     names = docs.columns
     lone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    own = docs.where(~lone).select(op2_ngram_jaccard.node().alias("_node"), F.xxhash64(*names).alias("_tie"), F.struct(*[F.col(c) for c in names]).alias("_row"))
+    own = docs.where(~lone).select(op2_ngram_jaccard.node().alias("_node"), F.xxhash64(*[F.to_json(named(c)) if "map<" in t else named(c) for c, t in docs.dtypes]).alias("_tie"), F.struct(*[named(c) for c in names]).alias("_row"))
     stay = own.join(heads, F.col("_node") == F.col("_head")).groupBy("_node").agg(F.min_by("_row", "_tie").alias("_row"))
     return stay.select("_row.*").union(docs.where(lone))
 
