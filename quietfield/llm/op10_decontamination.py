@@ -125,20 +125,26 @@ class Automaton:
         target = np.fromiter((t for x in self.next for t in x.values()), np.int32, int(sizes.sum()))
         edge = (np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32)) | word
         order = np.argsort(edge)
-        own = np.array(sorted(self.own), np.int32).reshape(-1, 2)
-        whole = np.array(sorted(self.whole), np.int32).reshape(-1, 3)
+        arrays = {"words": self.words, "edge": edge[order], "target": target[order], "link": np.array(self.link, np.int32), "long": np.array(self.long, np.int32)}
+        for name, rows, width in (("own", self.own, 2), ("whole", self.whole, 3)):
+            found = np.array(sorted(rows), np.int32).reshape(-1, width)
+            arrays[f"{name}_at"] = np.searchsorted(np.ascontiguousarray(found[:, 0]), np.arange(len(sizes) + 1)).astype(np.int32)
+            for n, part in enumerate(("item", "size")[: width - 1]):
+                arrays[f"{name}_{part}"] = np.ascontiguousarray(found[:, width - 1 - n])
         # nearest state on the way to the root that ends a short item
-        ends, short = set(whole[:, 0].tolist()), np.full(len(sizes), -1, np.int32)
+        ends, short = np.diff(arrays["whole_at"]) > 0, np.full(len(sizes), -1, np.int32)
         for s in np.argsort(self.long, kind="stable").tolist():
-            short[s] = s if s in ends else (short[self.link[s]] if self.link[s] >= 0 else -1)
-        return {"words": self.words, "edge": edge[order], "target": target[order], "link": np.array(self.link, np.int32), "long": np.array(self.long, np.int32), "own": own, "whole": whole, "short": short}
+            short[s] = s if ends[s] else (short[self.link[s]] if self.link[s] >= 0 else -1)
+        return arrays | {"short": short}
 
 
 class Frozen:
     """An automaton in arrays."""
 
     def __init__(self, arrays: dict[str, np.ndarray], window: int):
-        self.__dict__ |= arrays
+        self.words, self.edge, self.target = arrays["words"], arrays["edge"], arrays["target"]
+        for name in ("link", "long", "short", "own_at", "own_item", "whole_at", "whole_item", "whole_size"):
+            setattr(self, name, memoryview(arrays[name]))  # single values come quickest so
         self.window = window
         self.known: dict[int, int] = {}
 
@@ -157,13 +163,13 @@ class Frozen:
         """Spans [begin, end) of the windows in a run of words, and the numbers of the items they are from."""
         at = np.minimum(np.searchsorted(self.words, tok), len(self.words) - 1)
         codes = np.where(self.words[at] == tok, at, -1).tolist()
-        spans, found = [], set()
+        spans, found, done = [], set(), set()
         state = length = 0
         for n, c in enumerate(codes):
             to = self._next(state, c) if c >= 0 else -1
             while to < 0 and c >= 0 and state:
-                state = int(self.link[state])
-                length = int(self.long[state])
+                state = self.link[state]
+                length = self.long[state]
                 to = self._next(state, c)
             if to < 0:
                 state = length = 0
@@ -173,21 +179,19 @@ class Frozen:
                 spans.append((n + 1 - self.window, n + 1))
                 s = state
                 while self.link[s] >= 0 and self.long[self.link[s]] >= self.window:
-                    s = int(self.link[s])
-                found.update(self._of(self.own, s)[:, 1].tolist())
-            s = int(self.short[state])
+                    s = self.link[s]
+                if s not in done:
+                    done.add(s)
+                    found.update(self.own_item[self.own_at[s] : self.own_at[s + 1]])
+            s = self.short[state]
             while s >= 0:
-                for _, size, item in self._of(self.whole, s).tolist():
-                    if size <= length:
-                        spans.append((n + 1 - size, n + 1))
-                        found.add(item)
-                s = int(self.short[self.link[s]]) if self.link[s] >= 0 else -1
+                for x in range(self.whole_at[s], self.whole_at[s + 1]):
+                    if self.whole_size[x] <= length:
+                        spans.append((n + 1 - self.whole_size[x], n + 1))
+                        found.add(self.whole_item[x])
+                s = self.short[self.link[s]] if self.link[s] >= 0 else -1
         return spans, found
 
-    @staticmethod
-    def _of(rows: np.ndarray, state: int) -> np.ndarray:
-        return rows[np.searchsorted(rows[:, 0], state) : np.searchsorted(rows[:, 0], state, side="right")]
-
 
 def _items(window: int, max_words: int):
     """Rows (id, text) to pieces (id, words): an item of more than max_words words in pieces that share a window less one word."""
@@ -219,7 +223,7 @@ def _build(window: int):
             own = np.flatnonzero(part == p)
             ids, number = np.unique(names[own], return_inverse=True)
             arrays = Automaton([(int(n), flat[bounds[x] : bounds[x + 1]]) for n, x in zip(number, own, strict=True)], window).frozen() | {"ids": ids}
-            yield pa.RecordBatch.from_arrays([pa.array([p] * len(arrays), pa.int32()), pa.array(list(arrays)), pa.array([x.dtype.str for x in arrays.values()]), pa.array([x.shape[-1] if x.ndim > 1 else 0 for x in arrays.values()], pa.int32()), pa.array([np.ascontiguousarray(x).tobytes() for x in arrays.values()], pa.binary())], names=["part", "name", "kind", "width", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([p] * len(arrays), pa.int32()), pa.array(list(arrays)), pa.array([x.dtype.str for x in arrays.values()]), pa.array([np.ascontiguousarray(x).tobytes() for x in arrays.values()], pa.binary())], names=["part", "name", "kind", "body"])
 
     return run
 
@@ -239,11 +243,10 @@ class Benchmark:
         self.window, self.least = window, min(window, least or window)
         self.gram = min(GRAM, self.least)
         dealt = pieces.withColumn("part", F.pmod(F.xxhash64("id", "words"), F.lit(parts)).cast("int")).repartition(parts, "part")
-        built = table(dealt.mapInArrow(_build(window), "part int, name string, kind string, width int, body binary"), "automata")
+        built = table(dealt.mapInArrow(_build(window), "part int, name string, kind string, body binary"), "automata")
         automata: dict[int, dict[str, np.ndarray]] = {}
         for r in built.toLocalIterator():
-            x = np.frombuffer(bytes(r["body"]), dtype=r["kind"])
-            automata.setdefault(r["part"], {})[r["name"]] = x.reshape(-1, r["width"]) if r["width"] else x
+            automata.setdefault(r["part"], {})[r["name"]] = np.frombuffer(bytes(r["body"]), dtype=r["kind"])
         bits = max(1 << 16, 1 << ((total or 1) * BITS_PER_GRAM - 1).bit_length())
         bitmap = np.zeros(bits // 8, np.uint8)
         for r in pieces.select("words").toLocalIterator():  # limit_mb of text at most
