@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .udf import arrow_udf
 
 
 def level(score: Column, category: str) -> Column:
@@ -62,6 +64,12 @@ def evaluate(df, probability: Column, cfg: dict = C.POLICY):
     return out.withColumn("risk_score", F.when(F.col("overridden"), F.greatest(F.col("blended_score"), F.lit(cfg["safe_max"]))).otherwise(F.col("blended_score"))).withColumn("verdicts", verdicts())
 
 
+@arrow_udf("double")
+def shown(score: pd.Series) -> pd.Series:
+    """Scores with two digits, rounded as their binary value lies: 2.675 is a little less than it looks and gives 2.67."""
+    return score.map(lambda x: None if x is None or x != x else round(float(x), 2))
+
+
 def factors(hits: Column | None = None) -> Column:
     """Codes of the evidence present, in fixed order; hits is an array of (label, text), one code each."""
     hit = hits if hits is not None else F.expr("cast(array() as array<struct<label:string,text:string>>)")

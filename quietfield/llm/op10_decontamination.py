@@ -154,7 +154,7 @@ class Frozen:
         if to is None:
             at = int(np.searchsorted(self.edge, np.uint64(key)))
             to = int(self.target[at]) if at < len(self.edge) and int(self.edge[at]) == key else -1
-            if len(self.known) >= 1 << 18:
+            if len(self.known) >= 1 << 15:
                 self.known.clear()
             self.known[key] = to
         return to
