@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import LIMITS, NULL_ID, Limits, by_doc, byte_symbols, cover_lists, covered, gather, keyed, pieces, settle, tasks
+from .repeats import LIMITS, NULL_ID, Limits, by_doc, byte_symbols, cover_lists, covered, gather, keyed, pieces, settle, small, tasks
 from .runtime import table
 
 LENGTH = 100
@@ -365,7 +365,7 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
 
 def _digest(L: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw, offsets = k.text_buffers(batch.column(1))
             sizes = np.diff(offsets)
             gone = cover_lists(batch.column(2), offsets, L, sizes)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import LIMITS, NULL_ID, Limits, cover_lists, covered, gather, keyed, line_bounds, line_symbols, pieces, settle, signature, tasks
+from .repeats import LIMITS, NULL_ID, Limits, cover_lists, covered, gather, keyed, line_bounds, line_symbols, pieces, settle, signature, small, tasks
 from .runtime import named, table
 
 LINES = 3
@@ -75,7 +75,7 @@ def _cut(text: str, gone: np.ndarray) -> str:
 
 def _digest(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw, offsets = k.text_buffers(batch.column(1))
             _, _, first = line_bounds(raw, offsets)
             sizes = np.diff(first)
@@ -127,7 +127,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     rows = covered(carried, windows, *[c for c in carried.columns if c.startswith("_c")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw, offsets = k.text_buffers(batch.column(1))
             _, _, first = line_bounds(raw, offsets)
             sizes = np.diff(first)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import LIMITS, NULL_ID, Limits, by_doc, cover_lists, covered, gather, keyed, pieces, settle, tasks, word_symbols
+from .repeats import LIMITS, NULL_ID, Limits, by_doc, cover_lists, covered, gather, keyed, pieces, settle, small, tasks, word_symbols
 from .runtime import table
 
 LENGTH = 13
@@ -117,6 +117,7 @@ def _meet(limits: Limits):
 def _contexts(L: int, K: int, limits: Limits):
     """Rows (doc, text, places, sig) to a row per context with its words, or per window of a lengthened seed with its hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             raw, offsets = k.text_buffers(batch.column(1))
             places = batch.column(2)
@@ -143,17 +144,26 @@ def _contexts(L: int, K: int, limits: Limits):
                 if len(r):
                     times = width[r].astype(np.int64)
                     at, r, p = k.spread(times, begin[r]), np.repeat(r, times), k.spread(times, pos[r])
-                    h, h2 = k.joined(sym, at, L), k.joined(check, at, L)
-                    order, new, later = settle([h, h2], doc[r], sig[r], p, False)
-                    go = order[later | new]  # later ones of a block are settled: no hash needed, dealt by what is left
-                    flag = np.where(later[later | new], 0, 1).astype(np.int32)
-                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(go) + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
-                    spot = k.mix((doc[r][go] ^ sig[r][go]).astype(k.U64) + p[go].astype(k.U64))
-                    yield _context_rows(np.where(flag == 1, h[go], spot), h2[go], doc[r][go], sig[r][go], p[go], (1 << 9) | flag, none)
+                    held.append((k.joined(sym, at, L), k.joined(check, at, L), doc[r], sig[r], p))
+                    if sum(len(x[0]) for x in held) >= limits.block:
+                        yield _lengthened(held)
+                        held = []
+        if held:
+            yield _lengthened(held)
 
     return run
 
 
+def _lengthened(held: list[tuple]) -> pa.RecordBatch:
+    """Windows of lengthened seeds, settled among themselves: those that come later go on without a hash to meet by, dealt evenly."""
+    h, h2, doc, sig, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+    order, _, later = settle([h, h2], doc, sig, pos, False)
+    h, h2, doc, sig, pos = (x[order] for x in (h, h2, doc, sig, pos))
+    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(order) + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
+    even = k.mix((doc ^ sig).astype(k.U64) + pos.astype(k.U64))
+    return _context_rows(np.where(later, even, h), h2, doc, sig, pos, (1 << 9) | (~later).astype(np.int32), none)
+
+
 CONTEXT = "h long, h2 long, doc long, sig long, pos int, meta int, words array<long>"
 
 
@@ -248,7 +258,7 @@ def repeated_words(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits: Li
 
 def _digest(L: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw, offsets = k.text_buffers(batch.column(1))
             begin, end, first = k.words(raw, offsets)
             sizes = np.diff(first)

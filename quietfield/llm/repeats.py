@@ -137,6 +137,13 @@ def settle(keys: list[np.ndarray], doc: np.ndarray, sig: np.ndarray, pos: np.nda
     return order, new, later
 
 
+def small(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `limit` bytes of text (column 1), so that what is made of them stays small."""
+    for batch in batches:
+        for i, j in k.doc_chunks(k.text_buffers(batch.column(1))[1], limit):
+            yield batch.slice(i, j - i)
+
+
 def gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """All rows of a partition, whose size the caller has bounded."""
     got = [b for b in batches if b.num_rows]

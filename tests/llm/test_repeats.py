@@ -123,6 +123,7 @@ def test_bytes_in_many_buckets(spark):
 
 def test_words_with_lengthened_seeds(spark):
     rows = company(7) + [(a + 100, b) for a, b in corpus(6) if a is not None]
+    rows += [(a + 300, b + " / " + b) for a, b in company(7)[::5]]  # twice in one document
     few = Limits(sample_hot=2, piece=16, block=16)
     assert len(op7.common_seeds(keyed(frame(spark, rows)), 7, 5, few)) > 0
     same_words(spark, rows, 7, limits=few)
