@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import LIMITS, NULL_ID, Limits, by_doc, byte_symbols, cover_lists, covered, gather, keyed, pieces, settle, small, tasks
+from .repeats import LIMITS, NULL_ID, Limits, by_doc, byte_symbols, cover_lists, covered, dealt, gather, keyed, pieces, settle, small
 from .runtime import table
 
 LENGTH = 100
@@ -339,9 +339,8 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
     """Windows of L bytes of docs(doc, text, sig) that also start earlier, as runs (doc, sig, pos, width): starts pos .. pos+width-1."""
     assert 0 < K <= L and L - K < 255
     spark = docs.sparkSession
-    n = tasks(docs, limits.part_bytes)
     rec = docs.select("doc", "text", "sig").mapInArrow(_anchors(L, K, limits), "k long, h long, doc long, sig long, pos int, meta int")
-    met = table(rec.repartition(n, "k").mapInArrow(_repeated, "doc long, sig long, pos int, meta int"), "anchors")
+    met = table(dealt(rec, docs, limits.part_bytes, "k").mapInArrow(_repeated, "doc long, sig long, pos int, meta int"), "anchors")
     count = met.count()
     buckets = min(MAX_BUCKETS, max(1, math.ceil(count * (2 * L - K) * 0.8 / bucket_bytes)))
     places = lambda rows: rows.groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", "meta")).alias("places"))

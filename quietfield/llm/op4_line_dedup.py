@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import LIMITS, NULL_ID, Limits, cover_lists, covered, gather, keyed, line_bounds, line_symbols, pieces, settle, signature, small, tasks
+from .repeats import LIMITS, NULL_ID, Limits, cover_lists, covered, dealt, gather, keyed, line_bounds, line_symbols, pieces, settle, signature, small
 from .runtime import named, table
 
 LINES = 3
@@ -59,8 +59,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Windows of docs(doc, text, sig) that also start earlier, as runs (doc, sig, pos, width) of lines with a word."""
     rec = docs.select("doc", "text", "sig").mapInArrow(_windows(limits), "h long, s long, doc long, sig long, pos int, later boolean")
-    n = tasks(docs, 4 * limits.part_bytes)
-    return table(rec.repartition(n, "h").mapInArrow(_later, "doc long, sig long, pos long, width int"), "lines")
+    return table(dealt(rec, docs, 4 * limits.part_bytes, "h").mapInArrow(_later, "doc long, sig long, pos long, width int"), "lines")
 
 
 def _cut(text: str, gone: np.ndarray) -> str:

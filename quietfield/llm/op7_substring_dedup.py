@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import LIMITS, NULL_ID, Limits, by_doc, cover_lists, covered, gather, keyed, pieces, settle, small, tasks, word_symbols
+from .repeats import LIMITS, NULL_ID, Limits, by_doc, cover_lists, covered, dealt, gather, keyed, pieces, settle, small, word_symbols
 from .runtime import table
 
 LENGTH = 13
@@ -245,15 +245,14 @@ def _rows(doc: np.ndarray, sig: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
 def repeated_words(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits: Limits = LIMITS) -> DataFrame:
     """Windows of L words of docs(doc, text, sig) that also start in an earlier document, as runs (doc, sig, pos, width)."""
     assert 0 < K <= L <= len(k.PLACE)
-    n = tasks(docs, limits.part_bytes)
     common = common_seeds(docs, L, K, limits)
     rec = docs.select("doc", "text", "sig").mapInArrow(_seeds(L, K, common, limits), SEED)
-    met = table(rec.repartition(n, "k").mapInArrow(_meet(limits), MET), "seeds")
+    met = table(dealt(rec, docs, limits.part_bytes, "k").mapInArrow(_meet(limits), MET), "seeds")
     found = met.where(F.col("kind") == REPEATED).select("doc", "sig", F.col("pos").cast("long").alias("pos"), "width")
     meta = ((F.col("width") * 256 + F.col("off")) * 2 + (F.col("kind") == LENGTHEN).cast("int")).alias("meta")
     rim = met.where(F.col("kind") != REPEATED).groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", meta)).alias("places"))
     body = by_doc(docs).join(rim.hint("shuffle_hash"), ["doc", "sig"]).select("doc", "text", "places", "sig").mapInArrow(_contexts(L, K, limits), CONTEXT)
-    return found.union(body.repartition(n, "h").mapInArrow(_extend(L, K), RUN))
+    return found.union(dealt(body, docs, limits.part_bytes, "h").mapInArrow(_extend(L, K), RUN))
 
 
 def _digest(L: int, with_text: bool):

@@ -116,10 +116,10 @@ def pieces(symbols: Callable, L: int, K: int, limits: Limits, batches: Iterator[
                     yield ids[i:j][seq], sigs[i:j][seq], begin - (0 if longest else cuts[seq]) + base, width, off, h, s
 
 
-def tasks(docs: DataFrame, per_task: int) -> int:
-    """Partitions for what is made of the texts: as configured, or more so that each is from about per_task bytes of text."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per_task))
+def dealt(rows: DataFrame, docs: DataFrame, per_task: int, key: str) -> DataFrame:
+    """rows dealt by key: as the session has it, or into more partitions, one for about per_task bytes of the text of docs."""
+    wanted = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // per_task)
+    return rows.repartition(wanted, key) if wanted > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(key)
 
 
 def settle(keys: list[np.ndarray], doc: np.ndarray, sig: np.ndarray, pos: np.ndarray, same_doc: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
