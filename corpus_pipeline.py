@@ -65,4 +65,32 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-ORACLE_SQL = None
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _over(sql: str, table: str) -> str:
+    return sql.replace("FROM documents", f"FROM {table}")
+
+
+#: the stages one after another, each from the SQL of its operator, for tables whose ids are unique
+ORACLE_SQL = f"""
+WITH RECURSIVE good AS ({op6_quality_rules.SQL}),
+kept1 AS (SELECT documents.* FROM documents JOIN good USING (doc_id) WHERE kept),
+lines_cut AS ({_over(op4_line_dedup.SQL, "kept1").replace("sha256(kept) AS kept_sha256", "kept")}),
+kept2 AS (
+  SELECT kept1.* REPLACE (CASE WHEN n_removed > 0 THEN kept ELSE text END AS text) FROM kept1 JOIN lines_cut USING (doc_id)
+  WHERE n_removed = 0 OR n_removed < n_lines),
+linked AS ({_over(op2_ngram_jaccard.SQL, "kept2")}),
+kept3 AS (SELECT kept2.* FROM kept2 JOIN linked USING (doc_id) WHERE component_id = doc_id),
+verdicts AS ({_over(op10_decontamination.SQL, "kept3")}),
+spans AS ({_over(op10_decontamination.SQL, "kept3").rsplit("SELECT doc_id, len(w) AS n_words", 1)[0]} SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p, true AS hit FROM found),
+parts AS (
+  SELECT doc_id, string_split_regex(text, '{_WORD}') AS between, unnest(regexp_extract_all(text, '{_WORD}')) AS word, generate_subscripts(regexp_extract_all(text, '{_WORD}'), 1) AS p
+  FROM kept3 SEMI JOIN spans USING (doc_id)),
+marked AS (SELECT doc_id, p, word, between[1] AS head, between[p + 1] AS after, coalesce(hit, false) AS hit FROM parts LEFT JOIN spans USING (doc_id, p)),
+ahead AS (SELECT *, coalesce(lead(hit) OVER (PARTITION BY doc_id ORDER BY p), false) AS again FROM marked),
+cut AS (SELECT doc_id, any_value(head) || string_agg(CASE WHEN hit THEN '' ELSE word END || CASE WHEN hit AND again THEN '' ELSE after END, '' ORDER BY p) AS kept FROM ahead GROUP BY doc_id),
+kept4 AS (
+  SELECT kept3.* REPLACE (coalesce(cut.kept, text) AS text) FROM kept3 JOIN verdicts USING (doc_id) LEFT JOIN cut USING (doc_id) WHERE NOT contaminated)
+SELECT * FROM ({_over(op8_source_mix.SQL, "kept4")}) WHERE taken > 0
+"""
