@@ -132,3 +132,22 @@ def test_clashing_columns(spark, tmp_path):
         for r in docs.collect():
             assert r["_row"] == (None if r.doc_id is None else f"_row{r.doc_id}") and r["a.b"] == (None if r.doc_id is None else f"a.b{r.doc_id}") and r.labels == {"k": r.doc_id}
     assert corpus_pipeline.source_mix(spark, docs, sf).count() == corpus_pipeline.source_mix(spark, plain, sf).count()
+
+
+def test_against_sql(spark):
+    """The whole pipeline over the smallest tables."""
+    import os
+
+    import duckdb
+    import pytest
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "labels", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(corpus_pipeline.ORACLE_SQL)
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got.select(*want.columns)) == sorted(want.fetchall(), key=str) and got.count() > 0
