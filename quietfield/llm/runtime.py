@@ -45,15 +45,25 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
+def made() -> int:
+    """How many tables there are so far."""
+    return len(_made)
+
+
+def release(begin: int, end: int) -> None:
+    """Delete the tables made from begin up to end, when nothing is to be read from them any more."""
+    for spark, path in _made[begin:end]:
         with contextlib.suppress(Exception):
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@atexit.register
+def _clean() -> None:
+    release(0, len(_made))
+
+
 def lookup(rows: DataFrame, of: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """rows joined with of, whose keys are unique, where a few keys may hold most rows.
 
