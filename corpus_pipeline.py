@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietfield.llm import op2_ngram_jaccard, op4_line_dedup, op6_quality_rules, op8_source_mix, op10_decontamination
-from quietfield.llm.runtime import named, table
+from quietfield.llm.runtime import made, named, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again as the next one's docs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage returns is written and read again as the next one's docs.
+
+    Once that is written, the tables that the stage and the one before left are deleted.
+    """
+    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(begin, made() - 1)
+        begin = made() - 1
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
