@@ -340,7 +340,7 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
     assert 0 < K <= L and L - K < 255
     spark = docs.sparkSession
     rec = docs.select("doc", "text", "sig").mapInArrow(_anchors(L, K, limits), "k long, h long, doc long, sig long, pos int, meta int")
-    met = table(dealt(rec, docs, limits.part_bytes, "k").mapInArrow(_repeated, "doc long, sig long, pos int, meta int"), "anchors")
+    met = table(dealt(rec, docs, limits.part_bytes, "k").mapInArrow(_repeated, "doc long, sig long, pos int, meta int"), "anchors", tidy=True)
     count = met.count()
     buckets = min(MAX_BUCKETS, max(1, math.ceil(count * (2 * L - K) * 0.8 / bucket_bytes)))
     places = lambda rows: rows.groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", "meta")).alias("places"))
@@ -349,7 +349,7 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
         share = max(1, count // (SAMPLE * buckets))
         some = F.pmod(F.xxhash64("doc", "sig"), F.lit(share)) == 0
         keys = docs.where(some).join(places(met.where(some)), ["doc", "sig"]).select("doc", "text", "places", "sig").mapInArrow(_bodies(L, K, None, True), "key binary")
-        lows = table(keys, "sample").repartitionByRange(buckets, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("key"))
+        lows = table(keys, "sample", tidy=True).repartitionByRange(buckets, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("key"))
         right, left = _widths(L, K)
         size = (right + 1 + left) * 8
         found = sorted({bytes(r["key"]) for r in lows.collect()})[1:]  # a row a bucket
@@ -357,7 +357,7 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
     splitters = spark.sparkContext.broadcast(parts)
     body = by_doc(docs).join(places(met).hint("shuffle_hash"), ["doc", "sig"]).select("doc", "text", "places", "sig")
     body = body.mapInArrow(_bodies(L, K, splitters, False), "part int, doc long, sig long, pos int, meta int, body binary")
-    found = table(body.repartitionById(len(parts) + 1, F.col("part")).drop("part").mapInArrow(_bucket(L, K, splitters), RUN + ", key binary"), "suffixes")
+    found = table(body.repartitionById(len(parts) + 1, F.col("part")).drop("part").mapInArrow(_bucket(L, K, splitters), RUN + ", key binary"), "suffixes", tidy=True)
     edge = found.where("key is not null").repartitionByRange("key").mapInArrow(_across(L), RUN)
     return found.where("key is null").drop("key").union(edge)
 

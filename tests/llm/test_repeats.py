@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -186,3 +187,30 @@ def test_rows_without_an_id_keep_their_own_marks(spark):
     docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long").repartition(3)
     got = {(x.doc_id, x.text) for x in without_repeated_lines(docs).collect()}
     assert len(got) == 5 and {rows[0], rows[2], rows[3]} <= got and (None, a) not in got
+
+
+def shuffled(spark):
+    """Shuffle files of the session: bytes by name."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList()
+    files = [found.apply(i) for i in range(found.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_what_was_shuffled_for_a_table_goes_with_it(spark, monkeypatch):
+    """Texts, anchors and suffixes that are shuffled for a table of op1 do not wait for the driver's garbage."""
+    r = random.Random(12)
+    fresh = lambda n: " ".join("v%d" % r.randrange(10**9) for _ in range(n))
+    shared = [fresh(100) for _ in range(4)]
+    rows = [(i, fresh(50) + " " + r.choice(shared)) for i in range(50)]
+    left, write = {}, op1.table
+
+    def watched(df, name, **how):
+        before = shuffled(spark)
+        out = write(df, name, **how)
+        time.sleep(1)
+        left[name] = sum(size for file, size in shuffled(spark).items() if file not in before)
+        return out
+
+    monkeypatch.setattr(op1, "table", watched)
+    same_bytes(spark, rows, 100, bucket_bytes=20_000)
+    assert left == {"anchors": 0, "sample": 0, "suffixes": 0}
