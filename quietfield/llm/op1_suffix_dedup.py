@@ -38,7 +38,7 @@ from .runtime import table
 
 LENGTH = 100
 ANCHOR = 32
-BUCKET_BYTES = 24 << 20  # suffix bytes of a bucket, on average
+BUCKET_BYTES = 16 << 20  # suffix bytes of a bucket, on average
 SLICE = 1 << 18  # windows sorted at once
 MAX_BUCKETS = 1 << 16  # bounds the splitters: 16 MB at most are sent to the tasks
 SAMPLE = 32  # suffixes sampled for each bucket
@@ -95,7 +95,7 @@ class Suffixes:
 
     def __init__(self, raw: np.ndarray, begin: np.ndarray, anchor: np.ndarray, end: np.ndarray, L: int):
         self.forward = k.unaligned(raw, ">u8", self.FRONT)
-        self.backward = k.unaligned(raw, "<u8", self.FRONT)
+        self.backward = self.forward.view("<u8")  # of the same bytes
         self.begin, self.anchor, self.end = begin + self.FRONT, anchor + self.FRONT, end + self.FRONT
         after, before = int((end - anchor).max(initial=0)), int((anchor - begin).max(initial=0))
         self.right, self.left = -(-after // 8), -(-before // 8)
@@ -215,6 +215,8 @@ def _bucket(L: int, K: int, splitters):
         if not len(rows):
             return
         some = Suffixes(raw, begin, begin + off, begin + width + L - 1, L)
+        del raw  # the suffixes hold a copy, and no more than one is kept
+        begin = some.begin
         order, first = k.multikey_order(len(rows), some.word, some.depth)
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         d, g, p = doc[order], sig[order], pos[order]
@@ -243,14 +245,12 @@ def _bucket(L: int, K: int, splitters):
             p = k.spread(width[row], pos[row])
             shift = (off[row] + begin[row])[item] - at
             d, g = doc[row][item], sig[row][item]
-            again, by, first = _windows(raw, at, [(which[item] * 256 + shift).astype(k.U64)], L, d, g, p)
+            again, by, first = _windows(some.forward, at, [(which[item] * 256 + shift).astype(k.U64)], L, d, g, p)
             yield _merged(d, g, p, again)
             o = by[first]
             o = o[edge[item[o]]]
             if len(o):
-                data = raw[k.spread(np.full(len(o), L), at[o])]
-                ends = np.arange(len(o) + 1, dtype=np.int32) * L
-                yield _runs(d[o], g[o], p[o], np.ones(len(o), np.int64), pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+                yield _runs(d[o], g[o], p[o], np.ones(len(o), np.int64), _cut(some.forward, at[o], L))
 
     return run
 
@@ -281,12 +281,22 @@ def _split_anchors(some: Suffixes, heads: np.ndarray, parts: np.ndarray, K: int)
     return out
 
 
-def _windows(raw: np.ndarray, at: np.ndarray, lead: list[np.ndarray], L: int, d: np.ndarray, g: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which windows raw[at : at + L] come later than an equal one, their order, and the first of each group in it.
+def _cut(eight: np.ndarray, at: np.ndarray, L: int) -> pa.Array:
+    """The L bytes from each place of `at` on; eight: a view of the bytes, eight from each place."""
+    words = np.zeros((len(at), -(-L // 8)), eight.dtype)
+    for x in range(words.shape[1]):
+        words[:, x] = eight[at + 8 * x]
+    data = np.ascontiguousarray(words.view(np.uint8).reshape(len(at), -1)[:, :L]).ravel()
+    ends = np.arange(len(at) + 1, dtype=np.int32) * L
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
-    Rows are in order of document and place.  Windows that differ in a word of lead are not compared.
+
+def _windows(eight: np.ndarray, at: np.ndarray, lead: list[np.ndarray], L: int, d: np.ndarray, g: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of L bytes from `at` on come later than an equal one, their order, and the first of each group in it.
+
+    eight: a view of the bytes, eight from each place.  Rows are in order of document and place.  Windows that differ in a
+    word of lead are not compared.
     """
-    eight = k.unaligned(raw, ">u8")
     n = -(-L // 8)
     last = k.KEEP_HIGH[L - 8 * (n - 1)]
 
@@ -329,7 +339,7 @@ def _across(L: int):
         raw, offsets = k.text_buffers(t["key"])
         rank = np.lexsort((p, g, d))
         d, g, p, at = (x[rank] for x in (d, g, p, offsets[:-1]))
-        again, _, _ = _windows(raw, at, [], L, d, g, p)
+        again, _, _ = _windows(k.unaligned(raw, ">u8"), at, [], L, d, g, p)
         yield _merged(d, g, p, again).select(["doc", "sig", "pos", "width"])
 
     return run
@@ -347,8 +357,8 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
     parts = np.zeros(0, "S8")
     if buckets > 1:
         share = max(1, count // (SAMPLE * buckets))
-        some = F.pmod(F.xxhash64("doc", "sig"), F.lit(share)) == 0
-        keys = docs.where(some).join(places(met.where(some)), ["doc", "sig"]).select("doc", "text", "places", "sig").mapInArrow(_bodies(L, K, None, True), "key binary")
+        some = F.pmod(F.xxhash64("pos", "sig", "doc"), F.lit(share)) == 0  # single suffixes: those of one document are alike, and documents may be few
+        keys = docs.join(F.broadcast(places(met.where(some))), ["doc", "sig"]).select("doc", "text", "places", "sig").mapInArrow(_bodies(L, K, None, True), "key binary")
         lows = table(keys, "sample", tidy=True).repartitionByRange(buckets, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("key"))
         right, left = _widths(L, K)
         size = (right + 1 + left) * 8
@@ -358,7 +368,9 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
     body = by_doc(docs).join(places(met).hint("shuffle_hash"), ["doc", "sig"]).select("doc", "text", "places", "sig")
     body = body.mapInArrow(_bodies(L, K, splitters, False), "part int, doc long, sig long, pos int, meta int, body binary")
     found = table(body.repartitionById(len(parts) + 1, F.col("part")).drop("part").mapInArrow(_bucket(L, K, splitters), RUN + ", key binary"), "suffixes", tidy=True)
-    edge = found.where("key is not null").repartitionByRange("key").mapInArrow(_across(L), RUN)
+    edge = found.where("key is not null")
+    ranges = max(1, math.ceil(edge.count() * L / bucket_bytes))  # by volume: what is sized by shuffled bytes is a multiple of that, since windows overlap and compress well
+    edge = edge.repartitionByRange(ranges, "key").mapInArrow(_across(L), RUN)
     return found.where("key is null").drop("key").union(edge)
 
 

@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quietfield.llm import kernels as k
@@ -214,3 +217,40 @@ def test_what_was_shuffled_for_a_table_goes_with_it(spark, monkeypatch):
     monkeypatch.setattr(op1, "table", watched)
     same_bytes(spark, rows, 100, bucket_bytes=20_000)
     assert left == {"anchors": 0, "sample": 0, "suffixes": 0}
+
+
+def test_few_long_documents_are_sampled_for_buckets(spark, monkeypatch):
+    r = random.Random(13)
+    fresh = lambda n: " ".join("v%d" % r.randrange(10**9) for _ in range(n))
+    shared = fresh(9_000)
+    rows = [(1, fresh(9_000) + " " + shared), (2, shared + " " + fresh(9_000))]
+    sizes, write = {}, op1.table
+
+    def watched(df, name, **how):
+        out = write(df, name, **how)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(op1, "table", watched)
+    assert op1.repeated_windows(keyed(frame(spark, rows)), 100, bucket_bytes=100_000).count() > 0
+    buckets = -(-sizes["anchors"] * 168 * 0.8 // 100_000)
+    assert buckets > 4 and 0.5 < sizes["sample"] / (buckets * op1.SAMPLE) < 2
+
+
+def test_a_bucket_keeps_one_copy_of_its_bytes():
+    """Long suffixes, so that their bytes outweigh what is held for each row."""
+    r, L, K, n = np.random.default_rng(14), 280, 32, 20_000
+    width = L - K + 1
+    size = width + L - 1
+    raw = r.integers(97, 123, n * size).astype(np.uint8).reshape(n, size)
+    raw[1::2, 200:400] = raw[::2, 200:400]  # pairs share the bytes about the anchor, and no window
+    ends = np.arange(n + 1, dtype=np.int32) * size
+    body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw.ravel())])
+    fixed = lambda x, kind: pa.array(np.full(n, x, kind))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), fixed(7, np.int64), fixed(0, np.int32), fixed(width * 256 + 248, np.int32), body], names=["doc", "sig", "pos", "meta", "body"])
+    run = op1._bucket(L, K, SimpleNamespace(value=np.zeros(0, "S8")))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 0 and most < 5.5 * raw.nbytes  # half of it for a slice of windows
