@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as k
 from .repeats import LIMITS, NULL_ID, Limits, by_doc, byte_symbols, cover_lists, covered, dealt, gather, keyed, pieces, settle, small
-from .runtime import table
+from .runtime import in_few_files, table
 
 LENGTH = 100
 ANCHOR = 32
@@ -350,7 +350,8 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
     assert 0 < K <= L and L - K < 255
     spark = docs.sparkSession
     rec = docs.select("doc", "text", "sig").mapInArrow(_anchors(L, K, limits), "k long, h long, doc long, sig long, pos int, meta int")
-    met = table(dealt(rec, docs, limits.part_bytes, "k").mapInArrow(_repeated, "doc long, sig long, pos int, meta int"), "anchors", tidy=True)
+    met = dealt(rec, docs, limits.part_bytes, "k").mapInArrow(_repeated, "doc long, sig long, pos int, meta int")
+    met = table(in_few_files(met, int(spark.conf.get("spark.sql.shuffle.partitions"))), "anchors", tidy=True)
     count = met.count()
     buckets = min(MAX_BUCKETS, max(1, math.ceil(count * (2 * L - K) * 0.8 / bucket_bytes)))
     places = lambda rows: rows.groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", "meta")).alias("places"))
@@ -367,7 +368,8 @@ def repeated_windows(docs: DataFrame, L: int = LENGTH, K: int = ANCHOR, limits:
     splitters = spark.sparkContext.broadcast(parts)
     body = by_doc(docs).join(places(met).hint("shuffle_hash"), ["doc", "sig"]).select("doc", "text", "places", "sig")
     body = body.mapInArrow(_bodies(L, K, splitters, False), "part int, doc long, sig long, pos int, meta int, body binary")
-    found = table(body.repartitionById(len(parts) + 1, F.col("part")).drop("part").mapInArrow(_bucket(L, K, splitters), RUN + ", key binary"), "suffixes", tidy=True)
+    found = body.repartitionById(len(parts) + 1, F.col("part")).drop("part").mapInArrow(_bucket(L, K, splitters), RUN + ", key binary")
+    found = table(in_few_files(found, len(parts) + 1), "suffixes", tidy=True)
     edge = found.where("key is not null")
     ranges = max(1, math.ceil(edge.count() * L / bucket_bytes))  # by volume: what is sized by shuffled bytes is a multiple of that, since windows overlap and compress well
     edge = edge.repartitionByRange(ranges, "key").mapInArrow(_across(L), RUN)

@@ -254,3 +254,16 @@ def test_a_bucket_keeps_one_copy_of_its_bytes():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 0 and most < 5.5 * raw.nbytes  # half of it for a slice of windows
+
+
+def test_many_buckets_are_written_by_few_tasks(spark, monkeypatch):
+    files, write = {}, op1.table
+
+    def watched(df, name, **how):
+        out = write(df, name, **how)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(op1, "table", watched)
+    same_bytes(spark, company(6), 100, bucket_bytes=1000)
+    assert files["suffixes"] <= 4 * spark.sparkContext.defaultParallelism
