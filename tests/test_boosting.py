@@ -81,3 +81,11 @@ def test_every_item_is_analysed_in_few_jobs(spark):
     own = catalog._labelled(spark, SF, "train").unionByName(catalog._labelled(spark, SF, "held out"))
     whole = catalog.queries()["feature_vector_47"](spark, SF)
     assert own.drop("split", "risk_label").exceptAll(whole).count() == 0 and own.count() == whole.count()
+
+
+def test_importances_parse_no_picture_but_those_learnt_from(spark):
+    catalog._fitted.clear()
+    catalog._vectors.clear()
+    top, jobs = _jobs(spark, "top", lambda: catalog.queries()["importance_topk"](spark, SF).collect())
+    assert [r.place for r in top] == list(range(1, 11)) and jobs < 60
+    assert [k[2] for k in catalog._vectors] == ["train"]
